@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import label_sharding, mixing, url_cascade
+from rankloom.llm import label_sharding, mixing, orc_tokens, tier_packing, tiff_media, url_cascade
+from rankloom.llm.common import drop_path, shared_path
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -23,6 +24,28 @@ def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff_media.text_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    orc_tokens.write_tokens(table(spark, sf_dir, "documents"), path, word_tokenizer())
+    out = orc_tokens.token_index(spark, path)
+    drop_path(spark, path)
+    return out
+
+
 def op8_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -90,5 +113,12 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (n)
 """
 
-QUERIES = {"op3_label_sharding": op3_label_sharding, "op8_source_schedule": op8_source_schedule, "op9_url_cascade": op9_url_cascade}
+QUERIES = {
+    "op3_label_sharding": op3_label_sharding,
+    "op4_tier_packing": op4_tier_packing,
+    "op5_tiff_media": op5_tiff_media,
+    "op6_orc_tokens": op6_orc_tokens,
+    "op8_source_schedule": op8_source_schedule,
+    "op9_url_cascade": op9_url_cascade,
+}
 SQL = {"op8_source_schedule": OP8_SQL, "op9_url_cascade": OP9_SQL}
