@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import label_sharding, mixing, orc_tokens, tier_packing, tiff_media, url_cascade
+from rankloom.llm import label_sharding, language_id, mixing, orc_tokens, substring_dedup, tier_packing, tiff_media, url_cascade
 from rankloom.llm.common import drop_path, shared_path
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -46,6 +46,12 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.train(docs), ["doc_id"])
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,6 +60,10 @@ def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_gear_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -118,7 +128,9 @@ QUERIES = {
     "op4_tier_packing": op4_tier_packing,
     "op5_tiff_media": op5_tiff_media,
     "op6_orc_tokens": op6_orc_tokens,
+    "op7_language_id": op7_language_id,
     "op8_source_schedule": op8_source_schedule,
     "op9_url_cascade": op9_url_cascade,
+    "op10_gear_dedup": op10_gear_dedup,
 }
 SQL = {"op8_source_schedule": OP8_SQL, "op9_url_cascade": OP9_SQL}
