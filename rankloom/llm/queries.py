@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import label_sharding, language_id, mixing, orc_tokens, substring_dedup, tier_packing, tiff_media, url_cascade
+from rankloom.llm import cap_filters, label_sharding, language_id, mixing, orc_tokens, substring_dedup, tier_packing, tiff_media, url_cascade
 from rankloom.llm.common import drop_path, shared_path
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -124,6 +128,7 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 
 QUERIES = {
+    "op2_cap_filters": op2_cap_filters,
     "op3_label_sharding": op3_label_sharding,
     "op4_tier_packing": op4_tier_packing,
     "op5_tiff_media": op5_tiff_media,
