@@ -87,3 +87,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     none = pieces.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return some.select(cols).unionByName(none.select(cols))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """The documents as often as a mix takes them: a row for each whole round, a started round counting from a half.
+
+    A document is never cut, so a source's words stay near what `mix` takes of it. Rows of equal doc_id, source and
+    size are taken alike, each by its share of what is taken of them; documents without words go. All columns kept.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    took = mix(docs, weights, share, cap).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
+    took = took.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.round(F.col("__taken") / F.col("__rows") / F.col("size")).cast("int").alias("__times"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
+    out = docs.join(took.where("__times > 0"), same).withColumn("__round", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return out.select(*docs.columns)

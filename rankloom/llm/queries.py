@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import cap_filters, label_sharding, language_id, mixing, orc_tokens, substring_dedup, tier_packing, tiff_media, url_cascade
+from rankloom.llm import cap_filters, label_sharding, language_id, mixing, ngram_jaccard, orc_tokens, substring_dedup, tier_packing, tiff_media, url_cascade
 from rankloom.llm.common import drop_path, shared_path
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.linked_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
@@ -68,6 +72,27 @@ def op10_gear_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+), r(doc_id, c) AS (
+  SELECT DISTINCT doc_id, doc_id FROM documents
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -128,6 +153,7 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_cap_filters": op2_cap_filters,
     "op3_label_sharding": op3_label_sharding,
     "op4_tier_packing": op4_tier_packing,
@@ -138,4 +164,4 @@ QUERIES = {
     "op9_url_cascade": op9_url_cascade,
     "op10_gear_dedup": op10_gear_dedup,
 }
-SQL = {"op8_source_schedule": OP8_SQL, "op9_url_cascade": OP9_SQL}
+SQL = {"op1_ngram_jaccard": OP1_SQL, "op8_source_schedule": OP8_SQL, "op9_url_cascade": OP9_SQL}
