@@ -9,38 +9,52 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 8_000_000
-POOL_WORDS = 300_000
+from rankloom.llm.hashing import BYTE, by_bytes, flat_bytes, span_hashes, word_spans
+
+CHUNK_BYTES = 3_000_000
+POOL_WORDS = 2_000_000
+LATE_WORDS = 100_000
 
 _CODECS: dict[str, WordCodec] = {}
 
 
 class Pool:
-    """Words and their ids, appended to until it is full."""
+    """Ids of words by the words' 64-bit hashes: a large sorted table and a small one of late words."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
-        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lens)])
+        none = np.zeros(0, np.int64)
+        self.levels = [(none.astype(np.uint64), none, none), (none.astype(np.uint64), none, none)]
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of the ids of each key; start -1 for unknown keys."""
+        start, length = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for have, starts, lens in self.levels:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                start[hit], length[hit] = starts[at[hit]], lens[at[hit]]
+        return start, length
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        fresh = (keys, len(self.ids) + np.cumsum(lens) - lens, lens)
         self.ids = np.concatenate([self.ids, ids])
+        self.levels[1] = merged(self.levels[1], fresh)
+        if len(self.levels[1][0]) > LATE_WORDS:
+            self.levels = [merged(*self.levels), tuple(x[:0] for x in fresh)]
+
 
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, lens = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(starts - ends + lens, lens) + np.arange(total)], lens
+def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    order = np.argsort(np.concatenate([a[0], b[0]]))
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
 
 class WordCodec:
     """Ids of words by a tokenizer whose pre-tokenizer drops white space, so that no id crosses it.
 
     Words are cut at ASCII white space, and a letter from the punctuation after it; every such cut is also one for
-    the tokenizer, hence the ids of a text are those of its words in turn. Ids are kept for the words met lately:
-    words of the older of two pools move to the newer when met again, and the older is dropped when the newer holds
-    POOL_WORDS words, which bounds the memory.
+    the tokenizer, hence the ids of a text are those of its words in turn. A worker encodes each word once and keeps
+    its ids by the word's hash; the pool is emptied at POOL_WORDS words (some 40 bytes each), which bounds memory.
     """
 
     def __init__(self, path: str):
@@ -48,34 +62,30 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new, self.old = Pool(), Pool()
-
-    def learn(self, words: list[str]) -> None:
-        """See that the newer pool holds all of these different words."""
-        if len(self.new.index) + len(words) > POOL_WORDS:
-            self.new, self.old = Pool(), self.new
-        missing = [w for w in words if w not in self.new.index]
-        known = [w for w in missing if w in self.old.index]
-        if known:
-            self.new.add(known, *self.old.take(np.fromiter(map(self.old.index.__getitem__, known), np.int64, len(known))))
-            missing = [w for w in missing if w not in self.old.index]
-        if missing:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.new.add(missing, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+        self.pool = Pool()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts in them; a null text has none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        texts = pc.replace_substring_regex(texts, r"(\p{L})([.,;:!?()\"])", r"\1 \2")
-        split = pc.ascii_split_whitespace(texts)
-        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        at = np.fromiter(map(self.new.index.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
-        ids, lens = self.new.take(at)
-        return ids, np.concatenate([[0], np.cumsum(lens)])[bounds]
+        texts = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"(\p{L})([.,;:!?()\"])", r"\1 \2")
+        data, starts, ends = flat_bytes(texts)
+        ws, we, bounds = word_spans(data, starts, ends)
+        keys, first, at = np.unique(span_hashes(BYTE[data], ws, we), return_index=True, return_inverse=True)
+        if sum(len(x[0]) for x in self.pool.levels) + len(keys) > POOL_WORDS:
+            self.pool = Pool()
+        start, length = self.pool.find(keys)
+        new = np.flatnonzero(start < 0)
+        if len(new):
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(ws[first[new]].tolist(), we[first[new]].tolist(), strict=True)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            self.pool.add(keys[new], np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+            start, length = self.pool.find(keys)
+        start, length = start[at], length[at]
+        after = np.cumsum(length)
+        total = int(after[-1]) if len(after) else 0
+        ids = self.pool.ids[np.repeat(start - after + length, length) + np.arange(total)]
+        return ids, np.concatenate([[0], after])[bounds]
 
 
 def codec(path: str) -> WordCodec:
@@ -84,12 +94,8 @@ def codec(path: str) -> WordCodec:
     return _CODECS[path]
 
 
-def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> list[tuple[int, int]]:
-    """Row ranges of about `most` bytes of text each, at least a row each."""
-    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
-    group = (np.cumsum(size) - size) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+def chunks(texts: pa.Array) -> list[tuple[int, int]]:
+    return by_bytes(texts, CHUNK_BYTES)
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
