@@ -21,7 +21,7 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select("__p", before.alias("__first"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn("__i", inside).join(first, "__p").withColumn(name, (F.col("__first") + F.col("__i")).cast("long")).drop("__p", "__i", "__first")
+    return ranged.withColumn("__at", inside).join(first, "__p").withColumn(name, (F.col("__first") + F.col("__at")).cast("long")).drop("__p", "__at", "__first")
 
 
 @dataclass(frozen=True)

@@ -19,7 +19,7 @@ def tall(row: DataFrame) -> DataFrame:
 def six_digits(value):
     """C's %.6g: six significant digits, trailing zeros cut, an exponent below 1e-4 and from 1e6 on."""
     scaled = F.format_string("%.5e", value)
-    mantissa, exponent = F.split(scaled, "e")[0], F.split(scaled, "e")[1].cast("int")
+    mantissa, exponent = F.substring_index(scaled, "e", 1), F.substring_index(scaled, "e", -1).try_cast("int")
     strip = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     wide = F.format_string("%s%s", F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
     plain = F.lit(None).cast("string")
