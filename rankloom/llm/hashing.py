@@ -11,8 +11,6 @@ SPACE[[32, *range(9, 14)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
-M64 = (1 << 64) - 1
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix64's finaliser)."""
@@ -91,8 +89,7 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     n = len(words)
     h = np.zeros(max(0, n - k + 1), np.uint64)
     for j in range(k):
-        h += words[j : n - k + 1 + j] * np.uint64(BASE * (2 * j + 3) & M64)
-    h = mix(h)
+        h = mix(h + words[j : n - k + 1 + j])  # in turn, so that the order of the words tells
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
