@@ -25,22 +25,35 @@ def min_max(df: DataFrame, columns: dict[str, str], constant: float) -> DataFram
     return out.drop(*bounds.columns)
 
 
-def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the average rank of a column's values, from the counts of distinct values rather than a sort of all rows."""
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def rank_table(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The average rank of each value of a column, from the counts of distinct values rather than a sort of all rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("__c"))
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = counts.repartitionByRange(n, column).withColumn("__p", F.spark_partition_id())
     before = F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = ranged.groupBy("__p").agg(F.sum("__c").alias("__s")).select("__p", before.alias("__first"))
     inside = F.sum("__c").over(Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = ranged.withColumn("__to", inside).join(first, "__p").select(column, (F.col("__first") + F.col("__to") - (F.col("__c") - 1) / 2.0).alias(name))
-    return df.join(ranks, column)
+    return ranged.withColumn("__to", inside).join(first, "__p").select(column, (F.col("__first") + F.col("__to") - (F.col("__c") - 1) / 2.0).alias(name))
+
+
+def with_average_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Add the average ranks of several columns; the table is cut first, as each is ranked on its own."""
+    base = cut(df)
+    out = base
+    for column, name in names.items():
+        out = out.join(rank_table(base, column, name), column)
+    return out
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Row (n, rho): Pearson's correlation of the average ranks."""
-    ranked = average_rank(average_rank(df.select(a, b), a, "__ra"), b, "__rb")
-    return ranked.agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("rho"))
+    ranked = with_average_ranks(df.select(a, b), {a: "__ra", b: "__rb"})
+    return ranked.agg(F.count("*").alias("n"), correlation("__ra", "__rb").alias("rho"))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -96,7 +109,7 @@ def entropy(score: Column) -> Column:
 def gini(df: DataFrame, column: str, epsilon: float = 0.0, name: str = "gini") -> DataFrame:
     """Row with the Gini coefficient of a column's absolute values plus epsilon."""
     values = df.select((F.abs(F.col(column)) + epsilon).alias("v"))
-    ranked = average_rank(values, "v", "i")  # ties take their mean rank, which leaves the sum as it is
+    ranked = with_average_ranks(values, {"v": "i"})  # ties take their mean rank, which leaves the sum as it is
     n, s = F.count("*"), F.sum("v")
     return ranked.agg((2 * F.sum(F.col("i") * F.col("v")) / (n * s) - (n + 1) / n).alias(name))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.functions.statistics import entropy, gini, kendall, pearson_p, spearman
+from rankloom.functions.statistics import correlation, entropy, gini, kendall, pearson_p, spearman
 from rankloom.operators.graph import Graph, dense_index
 
 
@@ -30,7 +30,7 @@ def correctness(scores: DataFrame, truth: DataFrame, p: float = 0.15) -> DataFra
         F.abs(F.sum("a") - 1).alias("sum_deviation"),
         F.avg((F.col("a") >= 0).cast("double")).alias("non_negative_rate"),
         F.avg((F.col("a") >= p / F.col("n") - 1e-15).cast("double")).alias("floor_rate"),
-        F.corr("a", "b").alias("pearson"),
+        correlation("a", "b").alias("pearson"),
         F.min_by("id", F.struct(F.negative(F.round(gap, 15)), "id")).alias("worst_node"),
     )
 
@@ -103,7 +103,7 @@ def structure(scores: DataFrame) -> DataFrame:
 def degree_correlation(graph: Graph, scores: DataFrame) -> DataFrame:
     """spearman, pearson of the score with the weighted in-degree, 0 for nodes that nothing links to."""
     rows = scores.join(graph.in_degree(), "id", "left").fillna(0.0, ["in_degree"]).select(F.round("score", 12).alias("s"), F.round("in_degree", 12).alias("d")).persist()
-    return spearman(rows, "s", "d").select("n", F.col("rho").alias("spearman")).crossJoin(rows.agg(F.corr("s", "d").alias("pearson")))
+    return spearman(rows, "s", "d").select("n", F.col("rho").alias("spearman")).crossJoin(rows.agg(correlation("s", "d").alias("pearson")))
 
 
 def retrieval(found: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

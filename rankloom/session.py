@@ -16,6 +16,8 @@ def session(name: str = "rankloom", cores: int | str = "*", shuffle_partitions:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.maxPlanStringLength": "100000",
+        "spark.driver.memory": "4g",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
