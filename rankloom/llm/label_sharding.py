@@ -14,18 +14,18 @@ def fraction(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)).cast("double") / float(1 << 30)
 
 
-def propagate(labels: DataFrame, edges: DataFrame, sizes: list[int], shards: int, rounds: int = 6, slack: float = 0.02) -> DataFrame:
+def propagate(labels: DataFrame, edges: DataFrame, quota: float, shards: int, rounds: int = 6) -> DataFrame:
     """Move linked nodes towards their neighbours' shards.
 
-    labels: (node, shard) of the linked nodes; edges: (a, b), read in both directions; sizes: rows per shard, unlinked
-    ones included. In every round a node that a hash bit makes eligible asks for the shard that most of its neighbours
-    are in. As many moves from i to j are granted as come back from j to i, and beyond those as many as j has room
-    for under its quota (an even share plus `slack`); who moves is decided by a hash, so no task ranks a shard's
-    requests. Only the shards x shards table of demands reaches the driver.
+    labels: (node, shard) of the linked nodes; edges: (a, b), read in both directions; quota: how many of the linked
+    nodes a shard may take. In every round a node that a hash bit makes eligible asks for the shard that most of its
+    neighbours are in. As many moves from i to j are granted as come back from j to i, and beyond those as many as j
+    has room for under its quota; who moves is decided by a hash, so no task ranks a shard's requests. Only tables of
+    shards x shards counts reach the driver.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    quota = (1 + slack) * sum(sizes) / shards
-    sizes = list(sizes)
+    found = dict(labels.groupBy("shard").count().collect())
+    sizes = [found.get(i, 0) for i in range(shards)]
     for k in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("n"))
         best = near.groupBy("a").agg(F.max(F.struct("n", F.negative("to").alias("to"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("to", "n"))).alias("all"))
@@ -77,12 +77,11 @@ def shard_rows(rows: DataFrame, node: str, group: str, shards: int = 16, rounds:
     linked = rows.join(groups, rows[group] == groups["__g"], "left").drop("__g")
     linked = stored(linked.withColumn("__at", start), "linked")
     edges = stored(linked.where(F.col("__hub").isNotNull() & (F.col(node) != F.col("__hub"))).select(F.col(node).alias("a"), F.col("__hub").alias("b")).distinct(), "edges")
-    found = dict(linked.groupBy("__at").count().collect())
-    sizes = [found.get(i, 0) for i in range(shards)]
+    quota = linked.count() / shards  # unlinked rows give way, so all of a shard is open to linked ones
     labels = linked.where("__hub is not null").select(F.col(node).alias("node"), F.col("__at").alias("shard")).distinct()
     if edges.isEmpty():
         labels = labels.limit(0)
-    labels = propagate(stored(labels, "labels"), edges, sizes, shards, rounds)
+    labels = propagate(stored(labels, "labels"), edges, quota, shards, rounds)
     placed = linked.join(labels, linked[node] == labels["node"], "left").drop("node")
     placed = placed.withColumn("__at", F.coalesce("shard", "__at")).drop("shard")
     return balanced(placed, node, shards).drop("__hub", "__n", "__at")
