@@ -86,10 +86,10 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     data, starts, ends = flat_bytes(texts)
     ws, we, bounds = word_spans(data, starts, ends)
     words = span_hashes(BYTE[FOLD[data]], ws, we)
-    n = len(words)
-    h = np.zeros(max(0, n - k + 1), np.uint64)
+    count = max(0, len(words) - k + 1)
+    h = np.zeros(count, np.uint64)
     for j in range(k):
-        h = mix(h + words[j : n - k + 1 + j])  # in turn, so that the order of the words tells
+        h = mix(h + words[j : j + count])  # in turn, so that the order of the words tells
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:

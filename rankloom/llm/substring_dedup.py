@@ -156,9 +156,9 @@ def without_repeats(docs: DataFrame, radius: int = 3, min_words: int = 16) -> Da
                 texts.append(text)
                 n_chars.append(None if text is None else len(text))
             cols = list(batch.columns[: len(names)])
-            cols[at] = pa.array(texts, pa.string())
+            cols[at] = pa.array(texts, cols[at].type)
             if "n_chars" in names:
-                cols[names.index("n_chars")] = pa.array(n_chars, pa.int64())
+                cols[names.index("n_chars")] = pa.array(n_chars, cols[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stays))
 
     return joined.select(*names, "__cuts").mapInArrow(run, docs.schema)
