@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import components, partitions, stored
+from rankloom.llm.common import components, partitions, small_batches, stored
 
 BLOCKS = 2
 BUCKET = 8
@@ -21,6 +21,11 @@ LEAST_HITS = 12
 ROWS_OF_BLOCK = 512
 
 
+def blocks_of(dim: int) -> int:
+    """Blocks of four dimensions at least: code words of fewer would be few."""
+    return max(1, min(BLOCKS, dim // 4))
+
+
 @dataclass(frozen=True)
 class CapFilters:
     """Filters are unit vectors: one of `codes` code words from each block of a randomly rotated space, put together.
@@ -39,7 +44,7 @@ class CapFilters:
 
     @staticmethod
     def for_rows(dim: int, rows: int) -> CapFilters:
-        blocks = min(BLOCKS, dim)
+        blocks = blocks_of(dim)
         codes = max(4, math.ceil((max(rows, 256) * HITS / BUCKET) ** (1 / blocks)))
         share = min(0.5, HITS / codes**blocks)
         return CapFilters(dim, codes, NormalDist().inv_cdf(1 - share) / math.sqrt(dim))
@@ -47,7 +52,7 @@ class CapFilters:
     def tables(self) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
         rng = np.random.default_rng(self.seed + self.dim)
         turn = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
-        blocks = min(BLOCKS, self.dim)
+        blocks = blocks_of(self.dim)
         edges = [self.dim * i // blocks for i in range(blocks + 1)]
         words = []
         for a, b in zip(edges, edges[1:], strict=False):
@@ -58,7 +63,7 @@ class CapFilters:
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the numbers of the filters whose caps hold it."""
         out, least = self.exceeding(unit, self.least), self.least
-        enough = min(LEAST_HITS, self.codes ** min(BLOCKS, self.dim))
+        enough = min(LEAST_HITS, self.codes ** blocks_of(self.dim))
         while few := [i for i, x in enumerate(out) if len(x) < enough]:
             least -= 0.25 / math.sqrt(self.dim)
             for i, x in zip(few, self.exceeding(unit[few], least), strict=True):
@@ -206,6 +211,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     vectors of different lengths are not compared; a repeated row is a vector of its own; rows with a null id are
     returned, each linked with nothing; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(vectors.sparkSession)
     v = F.col("embedding")
     clean = F.coalesce(
         (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False)

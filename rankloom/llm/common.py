@@ -13,6 +13,16 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ROWS_OF_BATCH = 200
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand Python at most ROWS_OF_BATCH rows at a time, as whole texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_OF_BATCH:
+        spark.conf.set(key, str(ROWS_OF_BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from `spark.checkpoint.dir`.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -107,3 +111,26 @@ def by_bytes(texts: pa.Array, most: int) -> list[tuple[int, int]]:
     group = (np.cumsum(size) - size) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def sized(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text each: small ones are joined, large ones cut."""
+    held, size = [], 0
+    for batch in batches:
+        for a, b in by_bytes(batch.column(column), most):
+            held.append(batch.slice(a, b - a))
+            size += pc.sum(pc.binary_length(held[-1].column(column))).as_py() or 0
+            if size >= most // 2 or sum(x.num_rows for x in held) >= 20_000:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+    held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on, and later tasks may need other sizes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)

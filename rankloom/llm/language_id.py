@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.llm.hashing import by_bytes
+from rankloom.llm.common import small_batches
+from rankloom.llm.hashing import sized
 
 FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
@@ -166,26 +167,25 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     if {"lang_pred", "score"} & set(keep):
         raise ValueError("lang_pred and score are added")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spare = [c for c in keep if c != "text"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            texts = batch.column(len(spare))
-            for a, b in by_bytes(texts, CHUNK_TEXT):
-                part = texts.slice(a, b - a).to_pylist()
-                if m.languages:
-                    p, n_letters = m.scores(part)
-                    known = pa.array(n_letters > 0)
-                    best = p.argmax(axis=1)
-                    lang = pc.if_else(known, pa.array(m.languages).take(pa.array(best)), UNKNOWN)
-                    score = pc.if_else(known, pa.array(p[np.arange(len(part)), best]), 0.0)
-                else:
-                    lang, score = pa.array([UNKNOWN] * len(part)), pa.array([0.0] * len(part))
-                cols = [batch.column(spare.index(c) if c in spare else len(spare)).slice(a, b - a) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, lang, score], names=[*keep, "lang_pred", "score"])
+        for batch in sized(batches, len(spare), CHUNK_TEXT):
+            part = batch.column(len(spare)).to_pylist()
+            if m.languages:
+                p, n_letters = m.scores(part)
+                known = pa.array(n_letters > 0)
+                best = p.argmax(axis=1)
+                lang = pc.if_else(known, pa.array(m.languages).take(pa.array(best)), UNKNOWN)
+                score = pc.if_else(known, pa.array(p[np.arange(len(part)), best]), 0.0)
+            else:
+                lang, score = pa.array([UNKNOWN] * len(part)), pa.array([0.0] * len(part))
+            cols = [batch.column(spare.index(c) if c in spare else len(spare)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, lang, score], names=[*keep, "lang_pred", "score"])
 
     return docs.select(*spare, "text").mapInArrow(run, schema)
 

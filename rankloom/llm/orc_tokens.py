@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.llm.common import partitions, stored
+from rankloom.llm.common import partitions, small_batches, stored
 from rankloom.llm.token_text import chunks, codec, with_end
 
 SCHEMA = "doc_id long, ids array<int>"
@@ -27,13 +27,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, st
     ids come first; repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(tokenizer).encode
-        for batch in batches:
-            for a, b in chunks(batch.column(1)):
-                ids, offsets = with_end(*encode(batch.column(1).slice(a, b - a)), end_id)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "ids"])
+        for batch in chunks(batches):
+            ids, offsets = with_end(*encode(batch.column(1)), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")

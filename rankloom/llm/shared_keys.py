@@ -9,8 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rankloom.llm.common import small_batches
+from rankloom.llm.hashing import sized
+
 LEAST_BITS, MOST_BITS, HEAVY_BITS = 20, 30, 22
-KEYS_OF_SLICE = 4_000_000
+KEYS_OF_SLICE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -62,25 +65,25 @@ def planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def shared_keys(texts: DataFrame, keys_of: Callable[[pa.Array], Iterator[np.ndarray]], n_keys: int) -> SharedKeys:
+def shared_keys(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], n_keys: int, chunk: int) -> SharedKeys:
     """Count the keys of all rows of a one-column table of texts.
 
-    keys_of gives arrays of keys for an Arrow array of texts, each key once for a text; n_keys: about how many keys
-    there are. Every slice of the hash range is counted exactly by one task, which holds about KEYS_OF_SLICE keys;
+    keys_of gives the keys of an Arrow array of about `chunk` bytes of texts, each key once for a text; n_keys: about
+    how many keys there are. Every slice of the hash range is counted exactly by one task, which holds about KEYS_OF_SLICE keys;
     the driver gets only the finished tables.
     """
+    small_batches(texts.sparkSession)
     bits = min(MOST_BITS, max(LEAST_BITS, int(n_keys).bit_length()))
     slice_bits = min(16, max(6, int(n_keys // KEYS_OF_SLICE).bit_length()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for keys in keys_of(batch.column(0)):
-                held.append(keys)
-                size += len(keys)
-                if size > KEYS_OF_SLICE // 2:
-                    yield slice_rows(np.concatenate(held), slice_bits)
-                    held, size = [], 0
+        for batch in sized(batches, 0, chunk):  # gives memory back at its end
+            held.append(keys_of(batch.column(0)))
+            size += len(held[-1])
+            if size > KEYS_OF_SLICE:
+                yield slice_rows(np.concatenate(held), slice_bits)
+                held, size = [], 0
         if size:
             yield slice_rows(np.concatenate(held), slice_bits)
 

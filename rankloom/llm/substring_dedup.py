@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankloom.llm.common import free_shuffles, stored
-from rankloom.llm.hashing import BYTE, by_bytes, flat_bytes, span_hashes, word_spans
+from rankloom.llm.hashing import BYTE, flat_bytes, sized, span_hashes, word_spans
 from rankloom.llm.shared_keys import shared_keys
 
 GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 GEAR_BYTES = 32
-CHUNK_TEXT = 2_000_000
+CHUNK_TEXT = 1_000_000
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -89,28 +89,26 @@ def repeated_spans(docs: DataFrame, radius: int = 3, min_words: int = 16) -> Dat
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def digests(column: pa.Array) -> Iterator[np.ndarray]:
-        for a, b in by_bytes(column, CHUNK_TEXT):
-            owner, _, _, _, digest = text_chunks(column.slice(a, b - a), radius)
-            order = np.lexsort((digest, owner))
-            o, d = owner[order], digest[order]
-            fresh = np.ones(len(d), bool)
-            fresh[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1])
-            yield d[fresh]
+    def digests(column: pa.Array) -> np.ndarray:
+        owner, _, _, _, digest = text_chunks(column, radius)
+        order = np.lexsort((digest, owner))
+        o, d = owner[order], digest[order]
+        fresh = np.ones(len(d), bool)
+        fresh[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1])
+        return d[fresh]
 
-    table = spark.sparkContext.broadcast(shared_keys(texts.select("text"), digests, total // 25 + 1))
+    table = spark.sparkContext.broadcast(shared_keys(texts.select("text"), digests, total // 25 + 1, CHUNK_TEXT))
     free_shuffles(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in by_bytes(batch.column(1), CHUNK_TEXT):
-                owner, start, end, words, digest = text_chunks(batch.column(1).slice(a, b - a), radius)
-                hit = np.flatnonzero(table.value.repeated(digest))
-                ids = batch.column(0).slice(a, b - a).take(pa.array(owner[hit]))
-                cols = [ids, pa.array(start[hit]), pa.array(end[hit]), pa.array(words[hit].astype(np.int32)), pa.array(digest[hit].view(np.int64))]
-                nxt = np.append((start[1:] * (owner[1:] == owner[:-1]) - (owner[1:] != owner[:-1])), -1)[hit] if len(owner) else start
-                cols.append(pa.array(nxt))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "n_words", "digest", "next"])
+        for batch in sized(batches, 1, CHUNK_TEXT):
+            owner, start, end, words, digest = text_chunks(batch.column(1), radius)
+            hit = np.flatnonzero(table.value.repeated(digest))
+            ids = batch.column(0).take(pa.array(owner[hit]))
+            cols = [ids, pa.array(start[hit]), pa.array(end[hit]), pa.array(words[hit].astype(np.int32)), pa.array(digest[hit].view(np.int64))]
+            nxt = np.append((start[1:] * (owner[1:] == owner[:-1]) - (owner[1:] != owner[:-1])), -1)[hit] if len(owner) else start
+            cols.append(pa.array(nxt))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "n_words", "digest", "next"])
 
     found = stored(texts.mapInArrow(emit, "doc_id long, start long, end long, n_words int, digest long, next long"), "chunks")
     per = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__max"), F.max(F.col("doc_id").isNull()).alias("__null"))

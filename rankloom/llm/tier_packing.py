@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from rankloom.llm.common import small_batches
 from rankloom.llm.token_text import chunks, codec, with_end
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -129,16 +130,16 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 10
     length is cut into full windows as it comes.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(tokenizer).encode
         packer = Packer(tuple(tiers), step, TaskContext.get().partitionId() << 33)
-        for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1)
-            for a, b in chunks(texts):
-                ids, offsets = with_end(*encode(texts.slice(a, b - a)), end_id)
-                for i, doc_id in enumerate(ids_of.slice(a, b - a).to_pylist()):
-                    packer.add(doc_id, ids[offsets[i] : offsets[i + 1]])
-                yield packer.take()
+        for batch in chunks(batches):
+            ids, offsets = with_end(*encode(batch.column(1)), end_id)
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                packer.add(doc_id, ids[offsets[i] : offsets[i + 1]])
+            yield packer.take()
         packer.finish()
         yield packer.take()
 

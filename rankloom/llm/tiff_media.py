@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rankloom.llm.common import small_batches
+
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 262, 273, 277
 ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 278, 279, 284, 317
@@ -203,6 +205,7 @@ def tiff_pages(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
     names = {n for n, _ in PAGE_FIELDS}
     if names & set(keep):
         raise ValueError(f"columns {sorted(names & set(keep))} are added")
+    small_batches(df.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     schema = f"{kept}, page int, pages int, width int, height int, pixels binary, feature string, error string"
     return df.select(*keep, media).mapInArrow(lambda it: page_batches(it, media, keep), schema)
@@ -256,6 +259,7 @@ def text_round_trip(docs: DataFrame, page_rows: int = 16384) -> DataFrame:
     docs: doc_id, text. A page has 64 columns and at most `page_rows` rows. A null or empty text is 64 zero bytes;
     equal texts give equal values; repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
     run = lambda it: page_digests(page_batches(with_digest(text_media(it, page_rows)), "media", keep))
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, DIGESTS)

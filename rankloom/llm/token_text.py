@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from rankloom.llm.hashing import BYTE, by_bytes, flat_bytes, span_hashes, word_spans
+from rankloom.llm.hashing import BYTE, flat_bytes, sized, span_hashes, word_spans
 
-CHUNK_BYTES = 3_000_000
-POOL_WORDS = 2_000_000
+CHUNK_BYTES = 2_000_000
+POOL_WORDS = 1_500_000
 LATE_WORDS = 100_000
 
 _CODECS: dict[str, WordCodec] = {}
@@ -94,8 +95,9 @@ def codec(path: str) -> WordCodec:
     return _CODECS[path]
 
 
-def chunks(texts: pa.Array) -> list[tuple[int, int]]:
-    return by_bytes(texts, CHUNK_BYTES)
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) in a size that suits `encode`."""
+    return sized(batches, 1, CHUNK_BYTES)
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
