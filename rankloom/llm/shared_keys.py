@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.common import small_batches
+from rankloom.llm.common import small_batches, stored
 from rankloom.llm.hashing import sized
 
 LEAST_BITS, MOST_BITS, HEAVY_BITS = 20, 30, 22
@@ -106,7 +106,7 @@ def shared_keys(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], n_k
     rows = texts.mapInArrow(emit, "slice int, steps binary, counts binary")
     tables = rows.groupBy("slice").applyInArrow(count, "slice int, bitmap binary, heavy binary")
     bitmap, heavy = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << HEAVY_BITS, np.uint8)
-    for row in tables.toLocalIterator():
+    for row in stored(tables, "slices").toLocalIterator():  # counted by all executors, then fetched one by one
         part, loud = np.frombuffer(row["bitmap"], np.uint8), np.frombuffer(row["heavy"], np.uint8)
         bitmap[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
         heavy[row["slice"] * len(loud) : (row["slice"] + 1) * len(loud)] = loud
