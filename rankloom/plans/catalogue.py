@@ -345,7 +345,7 @@ def seed_extraction(spark, sf):
 
 
 @query(q.with_([*TRADE, "v AS MATERIALIZED (SELECT id, CASE WHEN id = 'customer:1' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM n)", *q.iterate("a", 10, 0.15, v="v")], "SELECT row_number() OVER (ORDER BY round(s, 8) DESC, id)::INT AS rank, id AS entity_name, round(s, 8) AS score FROM (SELECT * FROM a10 ORDER BY round(s, 8) DESC, id LIMIT 5)"))
-def graphrag_query(spark, sf):
+def engine_query(spark, sf):
     engine = rt.QueryEngine(tb.trade(spark, sf), k=12, tol=0, max_iter=10)
     answer = engine.query("Which parts did Customer:1 order?")
     keyed = answer.entities.select("entity_name", F.round("score", 8).alias("score"))
