@@ -18,7 +18,9 @@ from rankloom.llm.hashing import sized
 FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1500
+MOST_LANGUAGES = 1000
 CHUNK_TEXT = 1_000_000
+SPREAD = 1 << 36
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -131,11 +133,16 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample: of each language the `per_language` rows of least hash that are not held out.
 
-    docs: doc_id, text, lang. One task trains, on at most per_language whole texts for each language (a few dozen at
-    most); the driver gets the weights, 2**FEATURE_BITS x languages floats.
+    docs: doc_id, text, lang, of at most MOST_LANGUAGES languages (more are refused). One task trains, on at most
+    per_language whole texts for each language; the driver gets the weights, 2**FEATURE_BITS x languages floats.
     """
     mine = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = mine.select("doc_id", "lang", F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(SPREAD))
+    counts = mine.groupBy("lang").agg(F.count("*").alias("rows"))
+    if counts.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # Twice the share that is wanted surely holds the rows of least hash, and is all that is ranked.
+    ranked = mine.select("doc_id", "lang", place.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h").cast("double") * F.col("rows") < 2.0 * per_language * SPREAD)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
     sample = mine.join(F.broadcast(picked), "doc_id", "left_semi")  # at most per_language rows for each language
@@ -151,7 +158,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             )
 
     schema = "languages array<string>, weights binary, bias array<double>, temperature double"
-    got = sample.select("doc_id", F.xxhash64(F.lit("sample"), "doc_id").alias("h"), "text", "lang").coalesce(1).mapInArrow(run, schema).collect()
+    got = sample.select("doc_id", place.alias("h"), "text", "lang").repartition(1).mapInArrow(run, schema).collect()
     if not got:
         return Model((), np.zeros((0, 0), np.float32), np.zeros(0), 1.0)
     m = got[0]
