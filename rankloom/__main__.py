@@ -18,7 +18,7 @@ from rankloom.sources.sinks import Publisher, console, sweep_pivot
 SMALL = [(0, 1), (0, 2), (1, 3), (2, 3), (2, 4), (3, 5), (4, 5), (5, 0)]
 
 
-def rank(spark: SparkSession, data: str | None, p: float, out: str, chances: list[float]) -> list[str]:
+def rank(spark: SparkSession, data: str | None, p: float, out: str, chances: list[float], tol: float = 1e-8) -> list[str]:
     """Scores of an edge list, or of a graph of six nodes where there is none, and their metric tables."""
     try:
         edges = read_edge_list(spark, data) if data else literal_edges(spark, SMALL)
@@ -26,9 +26,9 @@ def rank(spark: SparkSession, data: str | None, p: float, out: str, chances: lis
         edges = literal_edges(spark, SMALL)
     graph = Graph.of(edges.persist())
     size = graph.summary().first()
-    done, scale = metrics.Scale.measure(pagerank, size["n_nodes"], size["n_edges"], graph, p, max_iter=300)
-    base = pagerank(graph, 0.10, max_iter=300)
-    _, trace = sweep(graph, chances, max_iter=300)
+    done, scale = metrics.Scale.measure(pagerank, size["n_nodes"], size["n_edges"], graph, p, tol, 300)
+    base = pagerank(graph, 0.10, tol, 300)
+    _, trace = sweep(graph, chances, tol, 300)
     tables = Publisher(spark, out)
     tables.add_table("correctness", "Correctness", metrics.correctness(done.scores, base.scores, p)).add_table("convergence", "Convergence", metrics.convergence(done.trace(), p))
     tables.add_table("ranking", "Ranking", metrics.ranking(done.scores, base.scores)).add_table("structure", "Structure", metrics.structure(done.scores))

@@ -18,6 +18,9 @@ def session(name: str = "rankloom", cores: int | str = "*", shuffle_partitions:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.maxPlanStringLength": "100000",
         "spark.driver.memory": "4g",
+        "spark.sql.ui.retainedExecutions": "20",
+        "spark.ui.retainedJobs": "50",
+        "spark.ui.retainedStages": "50",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
