@@ -33,8 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return out.withColumn("level", level).select("source", "source_size", "idx", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
-def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """Slots 0..slots-1 dealt to sources by the golden-ratio sequence: (slot, idx, rank), rank within the source.
+def dealt(targets: DataFrame, slots: int) -> DataFrame:
+    """Slots 0..slots-1 dealt to sources by the golden-ratio sequence: (slot, idx).
 
     The sequence is kept in integers (slot * GOLDEN mod 2**32), so every prefix of the schedule holds each source
     near its share and reruns agree to the bit.
@@ -47,19 +47,26 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("idx")), F.lit(0))).where("lo < hi")
     shift = GRID // CELLS
     spans = spans.select("idx", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / shift), F.floor((F.col("hi") - 1) / shift))).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN, F.lit(GRID)).alias("point"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") % GRID * (GOLDEN - GRID), F.lit(GRID)).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / shift))
-    dealt = points.join(spans, "cell").where("point >= lo and point < hi").select("slot", "idx")
-    return dealt.withColumn("rank", F.row_number().over(Window.partitionBy("idx").orderBy("slot")) - 1)
+    return points.join(F.broadcast(spans), "cell").where("point >= lo and point < hi").select("slot", "idx")
+
+
+def schedule(targets: DataFrame, slots: int) -> DataFrame:
+    """The slots with their rank within the source: (slot, idx, rank)."""
+    return dealt(targets, slots).withColumn("rank", F.row_number().over(Window.partitionBy("idx").orderBy("slot")) - 1)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, slots: int = 1 << 20, least_block: int = 64) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, least_block: int = 64, to_the_word: bool = False) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
     docs: doc_id, source, text. The words of a source form one stream in the order of md5(doc_id); the stream is cut
-    into blocks of equally many words, about target words / `slots` and at least `least_block`, so the schedule has
-    at most about `slots` rows whatever the input. The r-th slot of a source takes block r modulo its number of
-    blocks, and at most `cap` rounds are made. Returns doc_id, source, size, source_size, target, taken.
+    into blocks of `least_block` words whatever the input, so a source's error does not grow with the corpus. The
+    r-th slot of a source takes block r modulo its number of blocks, and at most `cap` rounds are made: whole rounds
+    and then a prefix of the stream, so slots need only be counted. A source may get a few slots more or less than
+    its share, which tells for one of a few hundred words; with `to_the_word` all sources are dealt their targets
+    instead, rounded to a word.
+    Returns doc_id, source, size, source_size, target, taken.
 
     Defined results: a null or empty text has size 0 and nothing is taken; null sources form one source, the last;
     repeated rows are documents of their own; an empty table gives no rows; other columns are ignored.
@@ -69,34 +76,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     base = stored(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sizes")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(cap))
     targets = stored(targets, "targets")
-    asked = targets.agg(F.sum("target")).first()[0] or 0.0
-    block = max(least_block, -(-int(asked) // slots))
-    n = -(-int(asked) // block)
+    if to_the_word:
+        targets = targets.withColumn("words", F.round("target").cast("long"))
+    else:
+        asked = targets.agg(F.sum("target")).first()[0] or 0.0
+        counts = dealt(targets.where("target > 0"), -(-int(asked) // least_block)).groupBy("idx").agg(F.count("*").alias("n"))
+        blocks = F.ceil(F.col("source_size") / least_block)
+        n = F.least(F.coalesce("n", F.lit(0)), cap * blocks)
+        words = F.when(blocks > 0, F.floor(n / blocks) * F.col("source_size") + n % blocks * least_block)
+        targets = stored(targets.join(counts, "idx", "left").withColumn("words", F.coalesce(words, F.lit(0))).drop("n"), "dealt")
     docs_of = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     docs_of = docs_of.withColumn("cell", F.floor(F.col("h") / (1 << 38)))
     placed = numbered(docs_of, ["idx"], "cell", [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "start").drop("cell", "h")
-    blocks = F.ceil(F.col("source_size") / block)
-    used = schedule(targets.where("target > 0"), n).join(targets.select("idx", "source_size"), "idx")
-    used = used.withColumn("blocks", blocks).where(F.col("rank") < cap * F.col("blocks"))
-    used = used.groupBy("idx", F.pmod("rank", "blocks").alias("block")).agg(F.count("*").alias("times"))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    pieces = pieces.join(used, ["idx", "block"], "left").withColumn("got", F.when(F.col("size") > 0, inside * F.coalesce("times", F.lit(0))).otherwise(F.lit(0)))
-    some = pieces.where("size > 0").groupBy("idx", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum("got").cast("long").alias("taken"))
-    none = pieces.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return some.select(cols).unionByName(none.select(cols))
+    prefix = F.col("words") % F.col("source_size") - F.col("start")
+    taken = F.floor(F.col("words") / F.col("source_size")) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), prefix))
+    placed = placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
     """The documents as often as a mix takes them: a row for each whole round, a started round counting from a half.
 
-    A document is never cut, so a source's words stay near what `mix` takes of it. Rows of equal doc_id, source and
+    Targets are dealt to the word, so that no source is lost for being small. A document is never cut, so a source's
+    words stay near what `mix` takes of it. Rows of equal doc_id, source and
     size are taken alike, each by its share of what is taken of them; documents without words go. All columns kept.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    took = mix(docs, weights, share, cap).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
+    took = mix(docs, weights, share, cap, to_the_word=True).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
     took = took.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.round(F.col("__taken") / F.col("__rows") / F.col("size")).cast("int").alias("__times"))
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
     out = docs.join(took.where("__times > 0"), same).withColumn("__round", F.explode(F.sequence(F.lit(1), F.col("__times"))))

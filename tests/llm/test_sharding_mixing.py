@@ -100,3 +100,20 @@ def test_mixed_documents(spark):
     sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
     for s, t in plain_targets(sizes).items():
         assert words[s] == pytest.approx(t, rel=0.1)
+
+
+def test_small_sources_of_a_large_corpus(spark):
+    large = spark.range(200).select("id", F.lit("large").alias("source"), F.repeat(F.lit("w "), 1_000_000).alias("text"))
+    small = spark.range(1000, 1030).select("id", F.concat(F.lit("small"), F.col("id")).alias("source"), F.repeat(F.lit("w "), 3000).alias("text"))
+    got = mx.mix(large.unionByName(small).withColumnRenamed("id", "doc_id"), weights=(1,)).collect()
+    for r in got:
+        if r["source"] != "large":
+            assert r["taken"] == pytest.approx(r["target"], abs=5 * 64)  # five blocks, however large the corpus
+    assert sum(r["taken"] for r in got) == pytest.approx(1.5 * 200_090_000, rel=0.001)
+
+
+def test_smallest_sources_keep_their_documents(spark):
+    rows = [(i, "large", "w " * 500) for i in range(200)] + [(1000 + i, f"small{i}", "w " * 12) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r["source"]: r["count"] for r in mx.mixed_documents(docs, weights=(1,)).groupBy("source").count().collect()}
+    assert [found.get(f"small{i}") for i in range(40)] == [2] * 40
