@@ -30,6 +30,17 @@ def test_groups_stay_together(spark):
     assert cut <= 4  # dealt by hash alone, nearly all 20 would be cut
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_no_group_that_fits_is_cut(spark, monkeypatch, few):
+    monkeypatch.setattr(ls, "FEW", few, raising=False)
+    sizes = [130] + [2] * 40 + [5] * 16 + [50] * 2  # of 400 rows in 4 shards; only the first is larger than a shard
+    names = [f"g{g}" for g, n in enumerate(sizes) for _ in range(n)]
+    got = shards_of(spark, [(i, names[i] if i < len(names) else None, None) for i in range(400)])
+    well_formed(got, 400, 4)
+    cut = [g for g in range(len(sizes)) if len({r["shard"] for r in got if r["same"] == f"g{g}"}) > 1]
+    assert cut == [0]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a", None)], [(None, "a", None), (2, None, None), (2, "a", None), (2, "a", None)], [(i, "hot", None) for i in range(90)] + [(i, None, None) for i in range(90, 101)]])
 def test_edge_cases(spark, rows):
     well_formed(shards_of(spark, rows), len(rows), 4)
