@@ -84,8 +84,9 @@ def cleanliness(url: Column, query_: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - off)
 
 
-def content_prior(url: Column) -> Column:
-    return F.when(url.rlike(HIGH_TYPE), 0.90).when(url.rlike(LOW_TYPE), 0.05).otherwise(0.50)
+def content_prior(path_: Column) -> Column:
+    """By the kind of page the path speaks of; host and query do not count."""
+    return F.when(path_.rlike(HIGH_TYPE), 0.90).when(path_.rlike(LOW_TYPE), 0.05).otherwise(0.50)
 
 
 def with_signals(df: DataFrame, url: str = "url") -> DataFrame:
@@ -93,7 +94,7 @@ def with_signals(df: DataFrame, url: str = "url") -> DataFrame:
     u = F.col(url)
     out = df.withColumns({"host": host(u), "path": path(u), "query": query(u)})
     out = out.withColumns(
-        {"tld_score": tld_score(F.col("host")), "reputation": reputation(F.col("host")), "depth": depth(F.col("path")), "cleanliness": cleanliness(u, F.col("query")), "content_prior": content_prior(u)}
+        {"tld_score": tld_score(F.col("host")), "reputation": reputation(F.col("host")), "depth": depth(F.col("path")), "cleanliness": cleanliness(u, F.col("query")), "content_prior": content_prior(F.col("path"))}
     )
     parts = [w * F.col(c) for c, w in COMPOSITE.items()]
     total = parts[0]

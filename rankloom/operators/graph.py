@@ -4,24 +4,40 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankloom.session import cut
+
+
+ROW_BITS = 33  # of monotonically_increasing_id: the place of a row in its partition
 
-def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
-    """Add 0, 1, 2, ... in ascending order of the columns.
 
-    Rows are range-partitioned by the order; counts of the partitions, one row each, give each its first number, so
-    no task sees all rows.
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in range partitions, sorted and written once, with their partition `__p` and place `__at` in it.
+
+    Range bounds are sampled, so two runs of one plan may part the rows differently. The rows are therefore cut
+    before anything is counted, and counts and rows come from the same stored partitions.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("__p", before.alias("__first"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn("__at", inside).join(first, "__p").withColumn(name, (F.col("__first") + F.col("__at")).cast("long")).drop("__p", "__at", "__first")
+    kept = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    place = F.col("__m").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return kept.withColumns({"__p": F.shiftright("__m", ROW_BITS).cast("int"), "__at": place}).drop("__m")
+
+
+def before_partition(parts: DataFrame, amount: Column, name: str) -> DataFrame:
+    """(__p, name): the sum of an aggregate over all earlier partitions; one row a partition, so one small window."""
+    sums = parts.groupBy("__p").agg(amount.alias("__s"))
+    before = F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(sums.select("__p", F.coalesce(before, F.lit(0)).alias(name)))
+
+
+def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """Add 0, 1, 2, ... in ascending order of the columns; no task sees all rows."""
+    rows = ranged(df, order)
+    first = before_partition(rows, F.count("*"), "__first")
+    return rows.join(first, "__p").withColumn(name, (F.col("__first") + F.col("__at")).cast("long")).drop("__p", "__at", "__first")
 
 
 @dataclass(frozen=True)

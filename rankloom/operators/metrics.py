@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from rankloom.functions.statistics import correlation, entropy, gini, kendall, pearson_p, spearman
 from rankloom.operators.graph import Graph, dense_index
+from rankloom.session import cut
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -19,11 +20,12 @@ def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def correctness(scores: DataFrame, truth: DataFrame, p: float = 0.15) -> DataFrame:
-    """l1, rmse, linf, sum_deviation, non_negative_rate, floor_rate, pearson, worst_node (least id on ties)."""
+    """l1, rmse, linf, sum_deviation, non_negative_rate, floor_rate, pearson, pearson_p, worst_node (least id on ties)."""
     rows = aligned(scores, truth)
     gap = F.abs(F.col("a") - F.col("b"))
     n = scores.agg(F.count("*").alias("n"))
-    return rows.crossJoin(F.broadcast(n)).agg(
+    row = rows.crossJoin(F.broadcast(n)).agg(
+        F.count("*").alias("__n"),
         F.sum(gap).alias("l1"),
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
         F.max(gap).alias("linf"),
@@ -33,10 +35,12 @@ def correctness(scores: DataFrame, truth: DataFrame, p: float = 0.15) -> DataFra
         correlation("a", "b").alias("pearson"),
         F.min_by("id", F.struct(F.negative(F.round(gap, 15)), "id")).alias("worst_node"),
     )
+    return with_p_value(row, "pearson", "__n", "pearson_p").drop("__n")
 
 
 def with_p_value(row: DataFrame, r: str, n: str, name: str) -> DataFrame:
     """Add the two-sided p-value of a one-row table's correlation."""
+    row = cut(row)
     first = row.first()
     return row.withColumn(name, F.lit(pearson_p(row.sparkSession, first[r], first[n])).cast("double"))
 
@@ -66,7 +70,7 @@ def positions(scores: DataFrame, name: str) -> DataFrame:
 
 
 def ranking(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
-    """overlap, tau, rho, ndcg, displacement of the ranking by a against that by b; ndcg's gains are b over its largest."""
+    """overlap, tau, tau_p, rho, rho_p, ndcg, displacement of the ranking by a against that by b; ndcg's gains are b over its largest."""
     pa, pb = positions(a, "pa"), positions(b, "pb")
     rows = aligned(a, b).join(pa, "id").join(pb, "id").persist()
     top = rows.where(F.col("pa") <= k)
@@ -75,8 +79,8 @@ def ranking(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
     part = lambda c: F.sum(F.when(F.col(c) <= k, F.col("g") / F.log2(F.col(c) + 1.0)))
     return (
         top.agg((F.sum((F.col("pb") <= k).cast("int")) / F.lit(float(k))).alias("overlap"), F.avg(F.abs(F.col("pa") - F.col("pb"))).alias("displacement"))
-        .crossJoin(kendall(rows, "pa", "pb").select("tau"))
-        .crossJoin(spearman(rows.select(F.round("a", 12).alias("u"), F.round("b", 12).alias("v")), "u", "v").select("rho"))
+        .crossJoin(kendall(rows, "pa", "pb").select("tau", F.col("p").alias("tau_p")))
+        .crossJoin(with_p_value(spearman(rows.select(F.round("a", 12).alias("u"), F.round("b", 12).alias("v")), "u", "v"), "rho", "n", "rho_p").select("rho", "rho_p"))
         .crossJoin(gains.agg((part("pa") / part("pb")).alias("ndcg")))
     )
 
@@ -101,9 +105,22 @@ def structure(scores: DataFrame) -> DataFrame:
 
 
 def degree_correlation(graph: Graph, scores: DataFrame) -> DataFrame:
-    """spearman, pearson of the score with the weighted in-degree, 0 for nodes that nothing links to."""
+    """n, spearman, spearman_p, pearson, pearson_p of the score with the weighted in-degree, 0 for nodes that nothing links to."""
     rows = scores.join(graph.in_degree(), "id", "left").fillna(0.0, ["in_degree"]).select(F.round("score", 12).alias("s"), F.round("in_degree", 12).alias("d")).persist()
-    return spearman(rows, "s", "d").select("n", F.col("rho").alias("spearman")).crossJoin(rows.agg(correlation("s", "d").alias("pearson")))
+    both = spearman(rows, "s", "d").select("n", F.col("rho").alias("spearman")).crossJoin(rows.agg(correlation("s", "d").alias("pearson")))
+    return with_p_value(with_p_value(both, "spearman", "n", "spearman_p"), "pearson", "n", "pearson_p")
+
+
+def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
+    """method, n, value, p: Pearson's, Spearman's and Kendall's (tau-b) correlation of two columns with two-sided p-values."""
+    rows = cut(df.select(a, b).dropna())
+    n = F.count("*")
+    parts = [
+        with_p_value(rows.agg(n.alias("n"), correlation(a, b).alias("value")), "value", "n", "p").withColumn("method", F.lit("pearson")),
+        with_p_value(spearman(rows, a, b).withColumnRenamed("rho", "value"), "value", "n", "p").withColumn("method", F.lit("spearman")),
+        kendall(rows, a, b).withColumnRenamed("tau", "value").withColumn("method", F.lit("kendall")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("method", "n", "value", "p")
 
 
 def retrieval(found: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass, field
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from rankloom.operators.graph import Graph
 from rankloom.session import cut
 
-MOST_DIRECT_NODES = 3000
+MOST_DIRECT_NODES = 50_000
+MOST_DENSE_NODES = 3000
 
 
 @dataclass(frozen=True)
@@ -101,6 +103,7 @@ def pagerank(
         if residuals[-1] < tol:
             break
     moves.unpersist()
+    nodes.unpersist()
     done = residuals[-1] < tol
     if not done and tol > 0:
         warnings.warn(f"no convergence in {max_iter} iterations: {residuals[-1]:.3g}", stacklevel=2)
@@ -146,6 +149,8 @@ def sweep(graph: Graph, chances: list[float], tol: float = 1e-8, max_iter: int =
             ranks = ranks.where(F.col("p").isin(active) if active else F.lit(False))
         if not active:
             break
+    moves.unpersist()
+    nodes.unpersist()
     if active:
         done.append(ranks)
     out = done[0]
@@ -154,8 +159,31 @@ def sweep(graph: Graph, chances: list[float], tol: float = 1e-8, max_iter: int =
     return out.select("p", "id", "score"), spark.createDataFrame(trace, "p double, iter int, residual double")
 
 
-def direct(graph: Graph, p: float = 0.15, teleport: DataFrame | None = None, most: int = MOST_DIRECT_NODES) -> DataFrame | None:
-    """The closed form, for graphs of at most `most` nodes (a dense matrix of most**2 doubles in one task); else None.
+def solved(src: np.ndarray, dst: np.ndarray, w: np.ndarray, p: float, right: np.ndarray, dense: int) -> np.ndarray:
+    """Columns x with (I - (1 - p) A) x = right for A[dst, src] = w, whose columns sum to 1 at most.
+
+    Up to `dense` rows by elimination; beyond by the sparse fixed point x = right + (1 - p) A x, whose error shrinks
+    by 1 - p a step: it runs until no digit of a double is left to change.
+    """
+    n = len(right)
+    if n <= dense:
+        a = np.zeros((n, n))
+        np.add.at(a, (dst, src), w)
+        return np.linalg.solve(np.eye(n) - (1 - p) * a, right)
+    x = right.copy()
+    steps = 1 if p == 1 else math.ceil(math.log(1e-18) / math.log(1 - p))
+    for _ in range(steps):
+        moved = np.stack([np.bincount(dst, weights=w * x[src, k], minlength=n) for k in range(right.shape[1])], axis=1)
+        new = right + (1 - p) * moved
+        change = np.abs(new - x).sum()
+        x = new
+        if change <= 1e-17 * np.abs(x).sum():
+            break
+    return x
+
+
+def direct(graph: Graph, p: float = 0.15, teleport: DataFrame | None = None, most: int = MOST_DIRECT_NODES, dense: int = MOST_DENSE_NODES) -> DataFrame | None:
+    """The solution of the linear system, for graphs of at most `most` nodes, which one task holds; else None.
 
     With M = I - (1 - p) A, where dangling nodes have empty columns, and d the dangling indicator, the scores are
     a + b (d a) / (1 - d b) for M a = p v and M b = ((1 - p) / N) e; they are clipped at 0 and normalised.
@@ -176,11 +204,10 @@ def direct(graph: Graph, p: float = 0.15, teleport: DataFrame | None = None, mos
         at = pd.Series(range(len(ids)), index=ids["id"])
         moves = frame[frame["v"].isna()]
         n = len(ids)
-        a = np.zeros((n, n))
-        np.add.at(a, (at[moves["dst"]].to_numpy(), at[moves["id"]].to_numpy()), moves["w"].to_numpy())
+        src, dst, w = at[moves["id"]].to_numpy(), at[moves["dst"]].to_numpy(), moves["w"].to_numpy()
         v = ids["v"].to_numpy() / ids["v"].sum()
-        d = (a.sum(axis=0) == 0).astype(float)
-        both = np.linalg.solve(np.eye(n) - (1 - p) * a, np.stack([p * v, np.full(n, (1 - p) / n)], axis=1))
+        d = (np.bincount(src, weights=w, minlength=n) == 0).astype(float)
+        both = solved(src, dst, w, p, np.stack([p * v, np.full(n, (1 - p) / n)], axis=1), dense)
         r = both[:, 0] + both[:, 1] * (d @ both[:, 0]) / (1 - d @ both[:, 1])
         r = np.clip(r, 0, None)
         return pd.DataFrame({"id": ids["id"], "score": r / r.sum()})
@@ -188,9 +215,9 @@ def direct(graph: Graph, p: float = 0.15, teleport: DataFrame | None = None, mos
     return rows.groupBy(F.lit(0).alias("__g")).applyInPandas(solve, f"id {key}, score double")
 
 
-def compare_direct(graph: Graph, scores: DataFrame, p: float = 0.15, top: int = 10) -> DataFrame:
+def compare_direct(graph: Graph, scores: DataFrame, p: float = 0.15, top: int = 10, most: int = MOST_DIRECT_NODES) -> DataFrame:
     """l1, linf and top-`top` overlap of scores against the closed form, or one row with `error` set."""
-    exact = direct(graph, p)
+    exact = direct(graph, p, most=most)
     spark = scores.sparkSession
     if exact is None:
         return spark.createDataFrame([(None, None, None, "the graph is too large for the closed form")], "l1 double, linf double, overlap double, error string")

@@ -193,7 +193,13 @@ def analytical_vs_iterative(spark, sf):
 
 @query(q.with_([*PART, *q.iterate("a", 2, 0.15)], "SELECT NULL::DOUBLE AS l1, NULL::DOUBLE AS linf, NULL::DOUBLE AS overlap, 'the graph is too large for the closed form' AS error"))
 def analytical_too_large(spark, sf):
-    return pr.compare_direct(tb.trade_graph(spark, sf), tb.part_rank(spark, sf).scores.select(F.col("id").cast("string").alias("id"), "score"))
+    return pr.compare_direct(tb.trade_graph(spark, sf), tb.part_rank(spark, sf).scores.select(F.col("id").cast("string").alias("id"), "score"), most=100)
+
+
+@query(q.with_([*TRADE, *q.iterate("a", 45, 0.5)], "SELECT id, round(s, 10) AS score FROM a45"))
+def pagerank_analytical_sparse(spark, sf):
+    """The linear system of the trade graph, beyond the size that is solved densely (up to 50,000 nodes in one task)."""
+    return rounded(pr.direct(tb.trade_graph(spark, sf), 0.5, most=10_000_000), 10)
 
 
 @query(q.with_([tb.WEB, *q.graph("SELECT src, dst FROM links", "SELECT url AS id FROM web"), *q.iterate("w", 10, 0.15)], "SELECT id AS url, round(s, 10) AS score FROM w10"))
@@ -374,7 +380,7 @@ def _ab(spark, sf):
     q.with_(
         AB,
         """SELECT round(sum(abs(a - b)), 9) AS l1, round(sqrt(avg((a - b) * (a - b))), 9) AS rmse, round(max(abs(a - b)), 9) AS linf, round(abs(sum(a) - 1), 9) AS sum_deviation,
-  round(avg((a >= 0)::INT::DOUBLE), 9) AS non_negative_rate, round(avg((a >= 0.15 / (SELECT n FROM cnt) - 1e-15)::INT::DOUBLE), 9) AS floor_rate, round(corr(a, b), 9) AS pearson,
+  round(avg((a >= 0)::INT::DOUBLE), 9) AS non_negative_rate, round(avg((a >= 0.15 / (SELECT n FROM cnt) - 1e-15)::INT::DOUBLE), 9) AS floor_rate, round(corr(a, b), 9) AS pearson, 0.0::DOUBLE AS pearson_p,
   (SELECT id FROM ab ORDER BY round(abs(a - b), 15) DESC, id LIMIT 1) AS worst_node FROM ab""",
     )
 )
@@ -394,7 +400,7 @@ PLACES = [*AB, "pos AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round
     q.with_(
         PLACES,
         f"""SELECT round((SELECT count(*) FROM pos WHERE pa <= 20 AND pb <= 20) / 20.0::DOUBLE, 9) AS overlap, round((SELECT avg(abs(pa - pb)) FROM pos WHERE pa <= 20), 9) AS displacement,
-  round((SELECT 1 - 4.0::DOUBLE * count(*) / ((SELECT n FROM cnt) * ((SELECT n FROM cnt) - 1)) FROM pos x JOIN pos y ON x.pa < y.pa AND x.pb > y.pb), 9) AS tau,
+  round((SELECT 1 - 4.0::DOUBLE * count(*) / ((SELECT n FROM cnt) * ((SELECT n FROM cnt) - 1)) FROM pos x JOIN pos y ON x.pa < y.pa AND x.pb > y.pb), 9) AS tau, 0.0::DOUBLE AS tau_p, 0.0::DOUBLE AS rho_p,
   round((SELECT corr(ra, rb) FROM (SELECT {q.average_rank("round(a, 12)", "ra")}, {q.average_rank("round(b, 12)", "rb")} FROM ab)), 6) AS rho,
   round((SELECT sum(CASE WHEN pa <= 20 THEN b / log2(pa + 1.0::DOUBLE) END) / sum(CASE WHEN pb <= 20 THEN b / log2(pb + 1.0::DOUBLE) END) FROM pos), 9) AS ndcg""",
     )
@@ -427,11 +433,44 @@ def gini(spark, sf):
 DEG = [*PART, *P15, "dg AS MATERIALIZED (SELECT a.id, round(s, 12) AS s, round(coalesce(w, 0), 12) AS d FROM a10 a LEFT JOIN (SELECT dst AS id, sum(w) AS w FROM t GROUP BY dst) USING (id))"]
 
 
-@query(q.with_(DEG, f"SELECT count(*) AS n, round(corr(x, y), 6) AS spearman, round((SELECT corr(s, d) FROM dg), 6) AS pearson FROM (SELECT {q.average_rank('s', 'x')}, {q.average_rank('d', 'y')} FROM dg)"))
+@query(q.with_(DEG, f"SELECT count(*) AS n, round(corr(x, y), 6) AS spearman, 0.0::DOUBLE AS spearman_p, round((SELECT corr(s, d) FROM dg), 6) AS pearson, 0.0::DOUBLE AS pearson_p FROM (SELECT {q.average_rank('s', 'x')}, {q.average_rank('d', 'y')} FROM dg)"))
 def indegree_correlation(spark, sf):
     return rounded(metrics.degree_correlation(tb.part_graph(spark, sf), tb.part_rank(spark, sf).scores), 6)
 
 
+# Tails of Student's t and of the normal distribution by Simpson's rule over 0..limit in 2000 steps.
+def _two_sided(limit: str, density: str) -> str:
+    return f"1 - 2 * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density.replace('@', f'({limit} * i / 2000.0::DOUBLE)')}) * {limit} / 6000.0::DOUBLE FROM generate_series(0, 2000) g(i))"
+
+
+STUDENT = _two_sided("lim", "exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt((n - 2) * pi()) * power(1 + @ * @ / (n - 2), -(n - 1) / 2.0::DOUBLE)")
+NORMAL = _two_sided("lim", "exp(-@ * @ / 2) / sqrt(2 * pi())")
+DAYS = """ev AS MATERIALIZED (SELECT l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b FROM lineitem WHERE l_orderkey % 64 = 1 OR l_linenumber = 7)"""
+TIES = "SELECT sum(t * (t - 1) / 2)::DOUBLE AS t2, sum(t * (t - 1) * (t - 2))::DOUBLE AS t3, sum(t * (t - 1) * (2 * t + 5))::DOUBLE AS t5 FROM (SELECT count(*)::DOUBLE AS t FROM ev GROUP BY {0})"
+
+
+@query(
+    q.with_(
+        [
+            DAYS,
+            f"ra AS MATERIALIZED (SELECT {q.average_rank('a', 'x')}, {q.average_rank('b', 'y')} FROM ev)",
+            "lin AS (SELECT 'pearson' AS method, count(*) AS n, corr(a, b) AS value FROM ev UNION ALL SELECT 'spearman', count(*), corr(x, y) FROM ra)",
+            "tt AS (SELECT *, abs(value) * sqrt((n - 2) / (1 - value * value)) AS lim FROM lin)",
+            f"ca AS ({TIES.format('a')})", f"cb AS ({TIES.format('b')})",
+            "sc AS (SELECT sum(sign(x.a - y.a) * sign(x.b - y.b))::DOUBLE / 2 AS s FROM ev x, ev y)",
+            "m AS (SELECT count(*)::DOUBLE AS n, count(*) * (count(*) - 1)::DOUBLE AS m FROM ev)",
+            """kt AS (SELECT n, s / sqrt(m / 2 - ca.t2) / sqrt(m / 2 - cb.t2) AS value,
+      abs(s) / sqrt((m * (2 * n + 5) - ca.t5 - cb.t5) / 18 + 2 * ca.t2 * cb.t2 / m + ca.t3 * cb.t3 / (9 * m * (n - 2))) AS lim FROM sc, m, ca, cb)""",
+        ],
+        f"SELECT method, n, round(value, 9) AS value, round({STUDENT}, 8) AS p FROM tt UNION ALL SELECT 'kendall', n::BIGINT, round(value, 9), round({NORMAL}, 8) FROM kt",
+    )
+)
+def correlation_p_values(spark, sf):
+    """Two columns full of ties: all three correlations and their p-values."""
+    rows = tb.read(spark, sf, "lineitem").where("l_orderkey % 64 = 1 or l_linenumber = 7").select(F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"))
+    return rounded(metrics.correlations(rows, "a", "b")).withColumn("p", F.round("p", 8))
+
+
 @query(q.with_(DEG, "SELECT id, s AS score, d AS in_degree FROM dg"))
 def figure_degree_score(spark, sf):
     graph = tb.part_graph(spark, sf)

@@ -59,7 +59,7 @@ def signals(source: str) -> list[str]:
       exp(-0.35::DOUBLE * greatest(0, len(list_filter(string_split(path, '/'), lambda x: x <> '')) - 1)) AS depth,
       greatest(0.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN regexp_matches(query, {quoted(urls.DIRTY)}) THEN 0.35::DOUBLE ELSE 0 END
         + CASE WHEN length(url) > 200 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(query) > 80 THEN 0.20::DOUBLE ELSE 0 END)) AS cleanliness,
-      CASE WHEN regexp_matches(url, {quoted(urls.HIGH_TYPE)}) THEN 0.90::DOUBLE WHEN regexp_matches(url, {quoted(urls.LOW_TYPE)}) THEN 0.05::DOUBLE ELSE 0.50::DOUBLE END AS content_prior
+      CASE WHEN regexp_matches(path, {quoted(urls.HIGH_TYPE)}) THEN 0.90::DOUBLE WHEN regexp_matches(path, {quoted(urls.LOW_TYPE)}) THEN 0.05::DOUBLE ELSE 0.50::DOUBLE END AS content_prior
     FROM two LEFT JOIN tlds a ON a.t = last2 LEFT JOIN tlds b ON b.t = last1 LEFT JOIN reps c ON c.h = host LEFT JOIN reps f ON f.h = last2))""",
     ]
 

@@ -18,7 +18,7 @@ KNOWN_URLS = [
     "https://arxiv.org/", "https://arxiv.org/abs/1706.03762", "https://scholar.google.com/", "https://pubmed.ncbi.nlm.nih.gov/", "https://en.wikipedia.org/wiki/PageRank",
     "https://www.nytimes.com/section/technology", "https://oxford.ac.uk/", "https://www.bbc.co.uk/news", "https://stanford.edu/", "https://www.nih.gov/health",
     "https://github.com/apache/spark", "https://docs.python.org/3/library/re.html", "https://medium.com/tag/data?utm_source=x&ref=y", "https://example.club/promo/buy",
-    "https://news.ycombinator.com/item?id=1", "https://who.int/data/report.pdf",
+    "https://news.ycombinator.com/item?id=1", "https://who.int/data/report.pdf", "https://research.example.com/", "https://adobe.com/",
 ]
 ROBOTS = [
     ("https://a.example", "User-agent: GPTBot\nDisallow: /"), ("https://b.example", "User-agent: *\nDisallow: /"), ("https://c.example", "User-agent: GPTBot\nUser-agent: ClaudeBot\nDisallow: /"),

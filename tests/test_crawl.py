@@ -82,3 +82,11 @@ def test_experiments(web):
     assert len(top) == 5 and top["H1_PurePageRank"]["precision"] == 0.5
     corr = {(r["a"], r["b"]): r["rho"] for r in ex.signal_correlation(web).collect()}
     assert len(corr) == 16 and corr["PageRank", "PageRank"] == pytest.approx(1.0)
+
+
+def test_content_prior_reads_the_path_alone(spark):
+    from rankloom.functions import urls
+
+    want = {"https://research.example.com/": 0.5, "https://adobe.com/": 0.5, "https://x.com/research/a": 0.9, "https://x.com/ads/b": 0.05, "https://x.com/?u=/paper": 0.5, "https://x.com/a.pdf": 0.9}
+    got = urls.with_signals(spark.createDataFrame([(u,) for u in want], "url string"))
+    assert {r["url"]: r["content_prior"] for r in got.collect()} == want

@@ -135,3 +135,14 @@ def test_predecessor_counts(spark):
     e = literal_edges(spark, [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")])
     got = {r["id"]: r["between"] for r in tv.predecessor_counts(e, spark.createDataFrame([("A",)], "id string")).collect()}
     assert got == pytest.approx({"B": 0.25, "C": 0.25, "D": 0.5})
+
+
+def test_sparse_solution(spark):
+    """The sparse fixed point against elimination, dangling nodes and a restart vector included."""
+    rng = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2))]
+    g = graph(spark, pairs)
+    for p, teleport in ((0.15, None), (0.02, None), (1.0, None), (0.3, spark.createDataFrame([(pairs[0][0], 2.0), (pairs[1][1], 1.0)], "id long, v double"))):
+        exact, sparse = scores(pr.direct(g, p, teleport)), scores(pr.direct(g, p, teleport, dense=0))
+        assert sparse == pytest.approx(exact, abs=1e-13)
+    assert pr.direct(g, most=10) is None

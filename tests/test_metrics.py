@@ -35,7 +35,53 @@ def test_kendall_and_spearman(spark):
 
 def test_p_values(spark):
     assert st.pearson_p(spark, 0.5, 20) == pytest.approx(0.02476, abs=1e-4)
-    assert st.kendall_p(0.0, 10) == 1.0 and st.pearson_p(spark, 1.0, 5) == 0.0
+    assert st.pearson_p(spark, 1.0, 5) == 0.0
+
+
+def plain_kendall(rows):
+    """Pairs one by one: tau-b and the score."""
+    n = len(rows)
+    sign = lambda x: (x > 0) - (x < 0)
+    pairs = [(sign(rows[i][0] - rows[j][0]), sign(rows[i][1] - rows[j][1])) for i in range(n) for j in range(i)]
+    score = sum(x * y for x, y in pairs)
+    return score / math.sqrt(sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs))
+
+
+@pytest.mark.parametrize(("n", "kinds"), [(2, 9), (3, 2), (40, 5), (150, 12), (300, 10**6)])
+def test_tau_b_with_ties(spark, n, kinds):
+    rng = random.Random(n)
+    rows = [(rng.randrange(kinds), rng.randrange(kinds)) for _ in range(n - 1)] + [(kinds, kinds)]
+    frame = spark.createDataFrame([*rows, (None, 1), (1, None)], "a long, b long")
+    got = st.kendall(frame, "a", "b").first()
+    assert got["n"] == n and got["tau"] == pytest.approx(plain_kendall(rows), abs=1e-12) and 0 <= got["p"] <= 1
+    flat = st.kendall(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), "a", "b").first()
+    assert flat["tau"] is None and flat["p"] is None
+
+
+def test_exact_kendall_p():
+    from itertools import permutations
+
+    for n in (4, 6):
+        counts = [sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n)) for p in permutations(range(n))]
+        pairs = n * (n - 1) // 2
+        for k in range(pairs + 1):
+            few = min(k, pairs - k)
+            want = min(1.0, 2 * sum(c <= few for c in counts) / len(counts)) if 2 * few != pairs else 1.0
+            assert st.kendall_p(n, pairs - 2 * k, k, (0, 0, 0), (0, 0, 0)) == pytest.approx(want)
+
+
+def test_ranks_of_many_rows(spark):
+    """Range bounds are sampled: numbers must still be gapless, with payload columns and uneven partitions."""
+    rows = spark.range(100_000).select((F.col("id") * 7919 % 100_003 % 997).alias("k"), F.col("id").alias("id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("pay")).repartition(7, "k")
+    from rankloom.operators.graph import dense_index
+
+    got = dense_index(rows, ["k", "id"]).toPandas().sort_values("idx")
+    assert got["idx"].tolist() == list(range(100_000))
+    assert got[["k", "id"]].apply(tuple, axis=1).is_monotonic_increasing
+    ranks = st.rank_table(rows, "k", "r").toPandas().sort_values("k")
+    counts = got.groupby("k").size()
+    before = counts.cumsum() - counts
+    assert ranks["r"].tolist() == pytest.approx((before + (counts + 1) / 2).tolist())
 
 
 def test_structure(spark):
