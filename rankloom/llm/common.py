@@ -91,6 +91,49 @@ def numbered(df: DataFrame, keys: list[str], cell: str, order: list[Column], amo
     return joined.withColumn(out, F.col("__before") + F.coalesce(F.sum(amount).over(inner), F.lit(0))).drop("__before")
 
 
+HOT_KEYS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, where a key may hold a large part of all rows.
+
+    right has `__rows`, how many rows of `left` a key has at most, and rows is their number in all. Keys with more
+    than 1 / HOT_KEYS of them, of which there cannot be more than HOT_KEYS, are broadcast, so their rows stay where
+    they are; only the others are shuffled. Null keys have no partner.
+    """
+    hot = F.col("__rows") * HOT_KEYS > rows
+    few, many = F.broadcast(right.where(hot).drop("__rows")), right.where(~hot).drop("__rows")
+    return left.join(few, keys).unionByName(left.join(few.select(*keys), keys, "left_anti").join(many, keys))
+
+
+def documents_apart(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """Rows as (key, text, row): `key` is never null and names one text; `row` holds all columns.
+
+    Where every row has a doc_id of its own the key is the doc_id, which one grouped count tells. Otherwise rows
+    without a doc_id, and those of a doc_id that repeats, get a number for each distinct (doc_id, text), above all
+    doc_ids; that first number is returned too.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    counts = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    twice = stored(counts.where("n > 1 or id is null").select("id"), "repeated")
+    if twice.isEmpty():
+        drop_stored(twice)
+        return plain.withColumnRenamed("id", "key"), None
+    ends = docs.agg(F.min(F.col("doc_id").cast("long")).alias("lo"), F.max(F.col("doc_id").cast("long")).alias("hi")).first()
+    text = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.unhex(F.lit("")))
+    known = twice.withColumn("again", F.lit(True))
+    marked = plain.withColumn("t", text).join(known.withColumnRenamed("id", "id2"), F.col("id").eqNullSafe(F.col("id2")), "left").drop("id2")
+    some = marked.where("again").select("id", "t").distinct().withColumn("cell", F.pmod(F.xxhash64("id", "t"), F.lit(1024)))
+    first = (ends["hi"] if ends["hi"] is not None else -1) + 1
+    if first > 2**62:
+        raise ValueError("doc_ids above 2**62 must not repeat")
+    number = stored(numbered(some, [], "cell", [F.col("id"), F.col("t")], F.lit(1), "number").select("id", "t", "number"), "numbers")
+    number = number.select(F.col("id").alias("id2"), F.col("t").alias("t2"), "number")
+    found = marked.join(number, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), "left")
+    key = F.when(F.col("number").isNotNull(), F.col("number") + first).otherwise(F.col("id"))
+    return found.select(key.alias("key"), "text", "row"), first
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """Connected components of an undirected edge table: (node, component), component the smallest node.
 

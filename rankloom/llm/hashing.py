@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
+STEP = np.uint64(0x9E3779B97F4A7C15)
+LANE = 8
+LONG_WORD = 256
+KEEP = np.array([(1 << (8 * n)) - 1 for n in range(LANE + 1)], np.uint64)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix64's finaliser)."""
@@ -25,34 +30,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-_POWERS: dict[int, np.ndarray] = {}
-
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, as all chunks use them."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        filled = 1
-        while filled < size:
-            have[filled : 2 * filled] = have[:filled] * np.uint64(pow(base, filled, 1 << 64))
-            filled *= 2
-        _POWERS[base] = have
-        if size > 1 << 22:  # of an exceptionally long text
-            del _POWERS[base]
-    return have[:n]
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes start:end of each word, equal for equal bytes wherever they stand.
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each span, equal for equal contents wherever they stand."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(BASE, n), out=sums[1:])
-    back = powers(pow(BASE, -1, 1 << 64), n + 1)[start]
-    length = (end - start).astype(np.uint64)
-    return mix((sums[end] - sums[start]) * back + length * np.uint64(0xD6E8FEB86659FD93))
+    Words are taken in lanes of 8 bytes, each mixed in turn, so unlike a sum of powers no regular pattern of letters
+    cancels out; words of more than LONG_WORD bytes go by their BLAKE2 digest.
+    """
+    length = end - start
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(LANE, np.uint8)]), strides=(1,))
+    h = mix(length.astype(np.uint64) * STEP)
+    at, left, which = start, length, slice(None)
+    for _ in range(LONG_WORD // LANE):
+        h[which] = mix(h[which] ^ (lanes[at] & KEEP[np.minimum(left, LANE)]))
+        more = np.flatnonzero(left > LANE)
+        if not len(more):
+            break
+        which = more if isinstance(which, slice) else which[more]
+        at, left = at[more] + LANE, left[more] - LANE
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def run_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of words[start:end] for each of adjacent runs, none empty: a sum of words mixed with their places in the run."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))
+    salt = mix(np.array([lane + 1], np.uint64) * STEP)[0]
+    sums = np.add.reduceat(mix(words + mix(place.astype(np.uint64) * STEP + salt)), start)
+    return mix(sums + mix((end - start).astype(np.uint64) ^ salt))
 
 
 def flat_bytes(texts: pa.Array, gap: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +99,7 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     """
     data, starts, ends = flat_bytes(texts)
     ws, we, bounds = word_spans(data, starts, ends)
-    words = span_hashes(BYTE[FOLD[data]], ws, we)
+    words = word_hashes(FOLD[data], ws, we)
     count = max(0, len(words) - k + 1)
     h = np.zeros(count, np.uint64)
     for j in range(k):
@@ -99,7 +109,7 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(h[a : b - k + 1]))
         elif b > a:
-            out.append(span_hashes(words, np.array([a]), np.array([b])))
+            out.append(run_hashes(words[a:b], np.array([0]), np.array([b - a]), k))
         else:
             out.append(h[:0])
     return out

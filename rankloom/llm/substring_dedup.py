@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.llm.common import free_shuffles, stored
-from rankloom.llm.hashing import BYTE, flat_bytes, sized, span_hashes, word_spans
+from rankloom.llm.common import documents_apart, free_shuffles, join_counted, stored
+from rankloom.llm.hashing import BYTE, SPACE, flat_bytes, run_hashes, sized, word_hashes, word_spans
 from rankloom.llm.shared_keys import shared_keys
 
 GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 GEAR_BYTES = 32
 CHUNK_TEXT = 1_000_000
+EDGE = 24
+FOUND = "doc_id long, start long, end long, n_words int, d1 long, d2 long, next long, words_before array<int>, starts_before array<long>, words_after array<int>, ends_after array<long>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -28,6 +31,15 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def single_spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with every run of white space as one space, and where the bytes `at` stand in them."""
+    space = SPACE[data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    moved = np.cumsum(keep)[at] - 1
+    return np.where(space, np.uint8(32), data)[keep], moved
+
+
 def cut_points(hashes: np.ndarray, bounds: np.ndarray, radius: int) -> np.ndarray:
     """Which words begin a chunk: a text's first, and those of least hash among the `radius` words on either side."""
     docs = len(bounds) - 1
@@ -46,95 +58,185 @@ def cut_points(hashes: np.ndarray, bounds: np.ndarray, radius: int) -> np.ndarra
     return np.flatnonzero(begins)
 
 
-def text_chunks(texts: pa.Array, radius: int) -> tuple[np.ndarray, ...]:
-    """Chunks of the texts in order: owner row, start and end byte in its text, words, digest."""
+@dataclass(frozen=True)
+class Chunks:
+    """Words of a batch of texts (hash, start and end byte in the text) and its chunks as runs of them.
+
+    first and last: words of each chunk; owner: its text; digest: two 64-bit hashes of its words.
+    """
+
+    words: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    owner: np.ndarray
+    digest: tuple[np.ndarray, np.ndarray]
+
+
+def text_chunks(texts: pa.Array, radius: int) -> Chunks:
+    """Content-defined chunks; white space counts as one space whatever it is, so other line breaks change nothing."""
     data, starts, ends = flat_bytes(texts, GEAR_BYTES)
     ws, we, bounds = word_spans(data, starts, ends)
     if not len(ws):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64)
-    hashes = gear(data)[ws - 1]
-    first = cut_points(hashes, bounds, radius)
+        return Chunks(none.astype(np.uint64), none, none, bounds, none, none, none, (none.astype(np.uint64),) * 2)
+    words = word_hashes(data, ws, we)
+    plain, at = single_spaced(data, ws)
+    first = cut_points(gear(plain)[at - 1], bounds, radius)
     owner = np.searchsorted(bounds, first, side="right") - 1
-    last = np.minimum(np.append(first[1:], len(ws)), bounds[owner + 1]) - 1
-    a, b = ws[first], we[last]
-    return owner, a - starts[owner], b - starts[owner], last - first + 1, span_hashes(BYTE[data], a, b)
+    last = np.append(first[1:], len(ws)) - 1
+    text = np.repeat(starts, np.diff(bounds))
+    return Chunks(words, ws - text, we - text, bounds, first, last, owner, tuple(run_hashes(words, first, last + 1, lane) for lane in (0, 1)))
 
 
-def islands(chunks: DataFrame, order: Window, flag: str) -> DataFrame:
-    """Number, as __part, the runs of adjacent chunks of a document that have the same flag."""
-    apart = (F.lag("next").over(order) != F.col("start")) | (F.lag(flag).over(order) != F.col(flag))
-    out = chunks.withColumn("__begins", F.coalesce(apart, F.lit(True)).cast("int"))
-    return out.withColumn("__part", F.sum("__begins").over(order)).drop("__begins")
+def lists(at: np.ndarray, count: np.ndarray, side: int, values: np.ndarray) -> pa.Array:
+    """For each place `at` a list of the `count` values next to it on one side, nearest first."""
+    ends = np.cumsum(count)
+    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + 1
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[np.repeat(at, count) + side * step]))
 
 
-def repeated_spans(docs: DataFrame, radius: int = 3, min_words: int = 16) -> DataFrame:
-    """Passages that stand in two documents or more: doc_id, start, end (bytes), n_words, first_doc_id, kept.
+def edge_lists(chunks: Chunks, hit: np.ndarray, side: int) -> tuple[pa.Array, pa.Array]:
+    """Up to EDGE words next to each hit chunk, nearest first: their hashes, and their start (side -1) or end (side 1).
+
+    Places are given for words of no hit chunk only, so there are none beside a chunk whose neighbour is hit too.
+    """
+    owner = chunks.owner[hit]
+    if side < 0:
+        near, limit, place = chunks.first[hit], chunks.bounds[owner], chunks.starts
+        stop = np.maximum(limit, np.concatenate([[0], chunks.last[hit][:-1] + 1]))
+    else:
+        near, limit, place = chunks.last[hit], chunks.bounds[owner + 1] - 1, chunks.ends
+        stop = np.minimum(limit, np.append(chunks.first[hit][1:] - 1, len(place)))
+    hashes = (chunks.words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return lists(near, np.minimum(abs(near - limit), EDGE), side, hashes), lists(near, np.minimum(abs(near - stop), EDGE), side, place)
 
-    docs: doc_id, text. A chunk begins at a word whose preceding 32 bytes have the least gear hash among the `radius`
-    words on either side, so chunks depend on nearby text only, resist shifts and have more than `radius` words but
-    at a text's ends; seven words is usual. A chunk is repeated when its digest occurs in two documents; the smallest
-    of them keeps it. Adjacent repeated chunks that the document does not keep and that have `min_words` words in all
-    are a passage to go (`kept` false, `first_doc_id` the keeper of its longest chunk). Other repeated chunks stay;
-    runs of them of `min_words` words are reported with `kept` true. Of a passage that documents share, all but its
-    first and last few words is found; runs of under `min_words` words are left alone.
+
+def shared_chunks(docs: DataFrame, radius: int) -> DataFrame:
+    """Chunks whose digest occurs twice or more in the corpus, and some others; see FOUND. docs: doc_id, text.
 
     Two passes over the texts: the first counts the digests of all chunks exactly and leaves a bitmap, the second
-    emits only chunks whose bit is set, of which the exact grouping by digest drops those met by chance. Defined
-    results: null and empty texts have no chunks; repeats within one document, or in rows of the same doc_id, are not
-    reported; rows with a null doc_id count as one further document, which never keeps; an empty table gives no
-    rows; other columns are ignored.
+    emits only chunks whose bit is set; those met by chance are dropped by the exact grouping that follows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def digests(column: pa.Array) -> np.ndarray:
-        owner, _, _, _, digest = text_chunks(column, radius)
-        order = np.lexsort((digest, owner))
-        o, d = owner[order], digest[order]
+        found = text_chunks(column, radius)
+        owner, d = found.owner, found.digest[0]
+        order = np.lexsort((d, owner))
+        o, d = owner[order], d[order]
         fresh = np.ones(len(d), bool)
         fresh[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1])
         return d[fresh]
 
-    table = spark.sparkContext.broadcast(shared_keys(texts.select("text"), digests, total // 25 + 1, CHUNK_TEXT))
+    table = spark.sparkContext.broadcast(shared_keys(docs.select("text"), digests, total // 25 + 1, CHUNK_TEXT))
     free_shuffles(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, 1, CHUNK_TEXT):
-            owner, start, end, words, digest = text_chunks(batch.column(1), radius)
-            hit = np.flatnonzero(table.value.repeated(digest))
-            ids = batch.column(0).take(pa.array(owner[hit]))
-            cols = [ids, pa.array(start[hit]), pa.array(end[hit]), pa.array(words[hit].astype(np.int32)), pa.array(digest[hit].view(np.int64))]
-            nxt = np.append((start[1:] * (owner[1:] == owner[:-1]) - (owner[1:] != owner[:-1])), -1)[hit] if len(owner) else start
-            cols.append(pa.array(nxt))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "n_words", "digest", "next"])
-
-    found = stored(texts.mapInArrow(emit, "doc_id long, start long, end long, n_words int, digest long, next long"), "chunks")
-    per = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__max"), F.max(F.col("doc_id").isNull()).alias("__null"))
-    per = per.where("first_doc_id is not null and (first_doc_id <> __max or __null)").select("digest", "first_doc_id")
-    chunks = found.join(per, "digest").drop("digest").distinct()
-    chunks = chunks.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("first_doc_id"), F.lit(False)))
-    order = Window.partitionBy("doc_id").orderBy("start", "end", "next")
-    chunks = islands(chunks, order, "kept")
-    short = F.sum("n_words").over(Window.partitionBy("doc_id", "__part")) < min_words
-    chunks = islands(chunks.withColumn("kept", F.col("kept") | short), order, "kept")
-    out = chunks.groupBy("doc_id", "__part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"), F.max_by("first_doc_id", F.struct("n_words", "start")).alias("first_doc_id"), F.first("kept").alias("kept")
-    )
-    out = out.where(F.col("n_words") >= min_words)
-    return out.select("doc_id", "start", "end", "n_words", "first_doc_id", "kept")
-
-
-def without_repeats(docs: DataFrame, radius: int = 3, min_words: int = 16) -> DataFrame:
+            c = text_chunks(batch.column(1), radius)
+            hit = np.flatnonzero(table.value.repeated(c.digest[0]))
+            if not len(hit):
+                continue
+            first, last, owner = c.first[hit], c.last[hit], c.owner[hit]
+            inner = last + 1 < c.bounds[owner + 1]
+            following = np.where(inner, c.starts[np.minimum(last + 1, len(c.starts) - 1)], -1)
+            cols = [batch.column(0).take(pa.array(owner)), pa.array(c.starts[first]), pa.array(c.ends[last]), pa.array((last - first + 1).astype(np.int32))]
+            cols += [pa.array(d[hit].view(np.int64)) for d in c.digest] + [pa.array(following), *edge_lists(c, hit, -1), *edge_lists(c, hit, 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in FOUND.split(", ")])
+
+    return stored(docs.select("doc_id", "text").mapInArrow(emit, FOUND), "chunks")
+
+
+def extended(mine: DataFrame, keepers: DataFrame, side: str, place: str, out: str) -> DataFrame:
+    """How far runs go on beyond their last whole chunk on one side: (doc_id, start, end, out, out_words).
+
+    mine: chunks with words of no other chunk beside them; keepers: the same digests' chunks in their keepers. The
+    words beside the two are compared from the chunk outwards, up to the first that differ.
+    """
+    words, places = f"words_{side}", f"{place}s_{side}"
+    joined = mine.where(F.size(places) > 0).select("doc_id", "start", "end", words, places, "d1", "d2").join(keepers.select("d1", "d2", F.col(words).alias("__theirs")), ["d1", "d2"])
+    same = F.zip_with(words, "__theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))
+    got = joined.withColumn("n", F.least(n.cast("int"), F.size(places))).where("n > 0")
+    far = F.max if side == "after" else F.min
+    return got.groupBy("doc_id", "start", "end").agg(far(F.element_at(places, F.col("n"))).alias(out), F.max("n").alias(f"{out}_words"))
+
+
+def passages(docs: DataFrame, radius: int, min_words: int) -> DataFrame:
+    """`repeated_spans` of documents whose doc_id, never null, names one text."""
+    found = shared_chunks(docs, radius)
+    digest = ["d1", "d2"]
+    per = found.groupBy(*digest).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__last"), F.count("*").alias("__rows"))
+    per = stored(per.where("first_doc_id < __last").drop("__last"), "digests")
+    rows = found.count()
+    chunks = join_counted(found.select("doc_id", "start", "end", "n_words", "next", *digest), per, digest, rows).drop(*digest).distinct()
+    chunks = chunks.withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
+    order = Window.partitionBy("doc_id").orderBy("start")
+    apart = (F.lag("next").over(order) != F.col("start")) | (F.lag("kept").over(order) != F.col("kept"))
+    runs = chunks.withColumn("__part", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("__part", F.sum("__part").over(order))
+    runs = runs.groupBy("doc_id", "__part", "kept").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"), F.max_by("first_doc_id", F.struct("n_words", "start")).alias("first_doc_id"),
+        F.min_by("end", "start").alias("__e"), F.max_by("start", "end").alias("__s"),
+    )
+    mine = join_counted(found.where("size(starts_before) + size(ends_after) > 0").drop("next", "n_words"), per, digest, rows)
+    mine = stored(mine.where("doc_id <> first_doc_id"), "edges")
+    asked = mine.select(*digest, F.col("first_doc_id").alias("doc_id")).distinct()
+    keepers = found.select("doc_id", "start", *digest, "words_before", "words_after").join(asked, [*digest, "doc_id"], "left_semi")
+    keepers = keepers.groupBy(*digest).agg(F.min(F.struct("start", "words_before", "words_after")).alias("k")).select(*digest, "k.*")
+    before, after = extended(mine, keepers, "before", "start", "__from"), extended(mine, keepers, "after", "end", "__to")
+    runs = runs.join(before.withColumnRenamed("end", "__e"), ["doc_id", "start", "__e"], "left").join(after.withColumnRenamed("start", "__s"), ["doc_id", "__s", "end"], "left")
+    wider = ~F.col("kept")
+    more = F.coalesce("__from_words", F.lit(0)) + F.coalesce("__to_words", F.lit(0))
+    out = runs.select(
+        "doc_id", F.when(wider, F.coalesce("__from", "start")).otherwise(F.col("start")).alias("start"), F.when(wider, F.coalesce("__to", "end")).otherwise(F.col("end")).alias("end"),
+        F.when(wider, F.col("n_words") + more).otherwise(F.col("n_words")).cast("int").alias("n_words"), "first_doc_id", "kept",
+    )
+    return out.where(F.col("n_words") >= min_words)
+
+
+def repeated_spans(docs: DataFrame, radius: int = 3, min_words: int = 32) -> DataFrame:
+    """Passages that stand in two documents or more: doc_id, start, end (bytes), n_words, first_doc_id, kept.
+
+    docs: doc_id, text. A chunk begins at a word whose preceding 32 bytes have the least gear hash among the `radius`
+    words on either side, so chunks depend on nearby text only, resist shifts and have more than `radius` words but
+    at a text's ends; seven words is usual. A chunk is repeated when its 128-bit digest occurs in two documents; the
+    smallest of them keeps it. Adjacent repeated chunks that the document does not keep are a passage to go (`kept`
+    false, `first_doc_id` the keeper of its longest chunk); at both ends it is carried on, word by word up to EDGE
+    words, as far as the keeper's text agrees, so head and tail of a passage go too (but for a chunk there that only
+    later holders share, as where the passage begins their texts: the first of those keeps it). Runs that the document keeps are
+    reported with `kept` true. Passages of under `min_words` words are left alone.
+
+    Defined results: null and empty texts have no chunks; repeats within one document are not reported; white space
+    between words, of any kind and length, does not count; rows with equal doc_id and text are one document, rows of
+    one doc_id with other texts, and rows with a null doc_id, are documents of their own that keep nothing which a
+    plain doc_id has (`first_doc_id` is null where one of them keeps); an empty table gives no rows; other columns
+    are ignored.
+    """
+    keyed, surrogates = documents_apart(docs.select(F.col("doc_id").cast("long"), "text"))
+    out = passages(keyed.select(F.col("key").alias("doc_id"), "text"), radius, min_words)
+    if surrogates is None:
+        return out
+    names = keyed.where(F.col("key") >= surrogates).select(F.col("key").alias("doc_id"), F.col("row.doc_id").alias("__id")).distinct()
+    plain = out.where(F.col("doc_id") < surrogates).withColumn("__id", F.col("doc_id"))
+    named = plain.unionByName(out.join(names, "doc_id")).drop("doc_id").withColumnRenamed("__id", "doc_id")
+    return named.withColumn("first_doc_id", F.when(F.col("first_doc_id") < surrogates, F.col("first_doc_id"))).select(*out.columns)
+
+
+def without_repeats(docs: DataFrame, radius: int = 3, min_words: int = 32) -> DataFrame:
     """The documents with every repeated passage cut out but in its smallest document; all columns are kept.
 
     n_chars, where it is a column, is counted anew. Documents that lose all their words go; documents without repeats
-    stay untouched, null and empty texts included.
+    stay untouched, null and empty texts included. Cuts are made by text, never by doc_id alone: see `repeated_spans`
+    for rows that share a doc_id or have none.
     """
-    spans = repeated_spans(docs, radius, min_words).where("not kept")
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    joined = docs.join(cuts, "doc_id", "left")
+    keyed, _ = documents_apart(docs)
+    spans = passages(keyed.select(F.col("key").alias("doc_id"), "text"), radius, min_words).where("not kept")
+    cuts = spans.groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    joined = keyed.join(cuts, "key", "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,4 +261,5 @@ def without_repeats(docs: DataFrame, radius: int = 3, min_words: int = 16) -> Da
                 cols[names.index("n_chars")] = pa.array(n_chars, cols[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stays))
 
-    return joined.select(*names, "__cuts").mapInArrow(run, docs.schema)
+    columns = [F.col(f"row.`{c}`").alias(c) for c in names]
+    return joined.select(*columns, F.col("cuts").alias("__cuts")).mapInArrow(run, docs.schema)

@@ -103,3 +103,34 @@ def test_packing_edge_cases(spark):
     assert tier_packing.pack(docs(spark, []), PATH).count() == 0
     rows = tier_packing.pack(docs(spark, [(None, "a", 1), (1, "a", 1), (1, "a", 1)]), PATH).collect()
     assert sum(r["length"] for r in rows) == 6
+
+
+PIECES = ["\u0130", "I", "i", "\u0307", "\u0301", "é", "e", "ß", "Σ", "ς", "K", "\u0958", "\ufb2a", "क", "\u093c", "\u1100", "\u1161", "가", "中", "。", "1", "½", ".", ",", ";", ":", "!", "?", "(", ")", '"', "'", "'s", "'ll", "-",
+          "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", "\t", "\u00a0", "\u0085", "\x1c", "\x00", "a", "b", "Z", "word", "🙂", "\u2260", "\u0338", "<", "GELİR VERGİSİ."]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    """10,000 random texts of what normalisation joins, splits or lower-cases oddly, and words with equal power sums."""
+    import random
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 30))) for _ in range(10_000)]
+    texts += ["".join(ab[bin(i).count("1") % 2] for i in range(1 << bits)) for bits in (10, 11, 12) for ab in ("ab", "ba")]
+    codec = token_text.WordCodec(PATH)
+    assert codec.by_words
+    for a in range(0, len(texts), 500):
+        part = texts[a : a + 500]
+        ids, at = codec.encode(pa.array(part))
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in codec.tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
+def test_words_of_one_hash_and_other_tokenizers(monkeypatch):
+    codec, texts = token_text.WordCodec(PATH), ["one two one", "three", None]
+    want = [codec.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    read = lambda c: (lambda ids, at: [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)])(*c.encode(pa.array(texts)))
+    assert read(codec) == want
+    monkeypatch.setattr(token_text, "word_hashes", lambda data, ws, we: np.zeros(len(ws), np.uint64))
+    assert read(codec) == want  # all words share a hash
+    other = token_text.WordCodec(public.path("byte_bpe_50k.json"))
+    assert not other.by_words  # its ids depend on the space before a word
+    assert read(other) == [other.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
