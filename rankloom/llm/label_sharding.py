@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.llm.common import drop_stored, numbered, stored
+from rankloom.llm.common import drop_stored, join_counted, numbered, stored
 
 CELLS = 1024
 FEW = 1000
@@ -69,24 +69,31 @@ def shard_rows(rows: DataFrame, node: str, group: str, shards: int = 16, rounds:
     whole groups first, and what is over fills the places that are free elsewhere, so the counts are exact. Adds `shard` and `slot` (gapless from 0 within a shard).
 
     Defined results: null nodes and null groups are linked with nothing; repeated rows count each and stay
-    together; an empty table gives no rows; a group larger than a shard is cut; other columns pass through, and
-    columns named shard or slot are replaced.
+    together; an empty table gives no rows; a group larger than a shard is cut; other columns pass through,
+    whatever their names, and columns named shard or slot are replaced.
     """
-    rows = rows.drop("shard", "slot")
-    start = F.pmod(F.xxhash64(F.lit("start"), F.col(node)), F.lit(shards)).cast("int")
-    groups = rows.where(F.col(group).isNotNull() & F.col(node).isNotNull()).groupBy(F.col(group).alias("__g"))
-    groups = groups.agg(F.min(node).alias("__hub"), F.count("*").alias("__n")).where("__n > 1")
-    linked = rows.join(groups, rows[group] == groups["__g"], "left").drop("__g")
-    linked = stored(linked.withColumn("__at", start), "linked")
-    edges = stored(linked.where(F.col("__hub").isNotNull() & (F.col(node) != F.col("__hub"))).select(F.col(node).alias("a"), F.col("__hub").alias("b")).distinct(), "edges")
-    quota = linked.count() / shards  # unlinked rows give way, so all of a shard is open to linked ones
-    labels = linked.where("__hub is not null").select(F.col(node).alias("node"), F.col("__at").alias("shard")).distinct()
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows = rows.select(F.col(f"`{node}`").alias("__node"), F.col(f"`{group}`").alias("__group"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
+    start = F.pmod(F.xxhash64(F.lit("start"), "__node"), F.lit(shards)).cast("int")
+    named = rows.where("__group is not null and __node is not null")
+    groups = named.groupBy("__group").agg(F.min("__node").alias("__hub"), F.count("*").alias("__n")).where("__n > 1")
+    groups = stored(groups.withColumn("__rows", F.col("__n")), "groups")
+    total = rows.count()
+    joined = join_counted(named, groups, ["__group"], total)
+    alone = rows.join(groups.select("__group"), "__group", "left_anti") if total else rows
+    alone = alone.unionByName(rows.where("__group is not null and __node is null").join(groups.select("__group"), "__group", "left_semi"))
+    linked = joined.unionByName(alone.withColumns({"__hub": F.lit(None).cast(rows.schema["__node"].dataType), "__n": F.lit(None).cast("long")}))
+    linked = stored(linked.withColumn("__at", start).drop("__group"), "linked")
+    edges = stored(linked.where(F.col("__hub").isNotNull() & (F.col("__node") != F.col("__hub"))).select(F.col("__node").alias("a"), F.col("__hub").alias("b")).distinct(), "edges")
+    quota = total / shards  # unlinked rows give way, so all of a shard is open to linked ones
+    labels = linked.where("__hub is not null").select(F.col("__node").alias("node"), F.col("__at").alias("shard")).distinct()
     if edges.isEmpty():
         labels = labels.limit(0)
     labels = propagate(stored(labels, "labels"), edges, quota, shards, rounds)
-    placed = linked.join(labels, linked[node] == labels["node"], "left").drop("node")
+    placed = linked.join(labels, linked["__node"] == labels["node"], "left").drop("node")
     placed = stored(placed.withColumn("__at", F.coalesce("shard", "__at")).drop("shard"), "placed")
-    return balanced(settled(placed, shards), node, shards).drop("__hub", "__n", "__at", "__whole")
+    out = balanced(settled(placed, shards), "__node", shards)
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in kept], "shard", "slot")
 
 
 def quotas(total: int, shards: int) -> list[int]:

@@ -19,6 +19,7 @@ FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1500
 MOST_LANGUAGES = 1000
+SAMPLE_BYTES = 128_000_000
 CHUNK_TEXT = 1_000_000
 SPREAD = 1 << 36
 UNKNOWN = "und"
@@ -49,6 +50,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = np.full(len(points), 0x811C9DC5, np.uint32)
     for k in range(max(ORDERS)):
         moved = points if not k else np.concatenate([points[k:], np.full(k, 32, np.uint32)])
+        for j in range(1, k + 1):
+            moved[bounds[1:] - j] = 32  # never a letter of the next text
         h = (h ^ moved) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if k + 1 in ORDERS:
@@ -80,12 +83,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, scale: float = 30.0) -> Model:
+def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, scale: float = 30.0, idf: np.ndarray | None = None) -> Model:
     """Train with FTRL-Proximal (McMahan et al., 2013) under elastic-net penalties, then fit the temperature.
 
-    The value of a feature is scale x its share of the text's n-grams x its inverse document frequency. Every fifth
-    text is kept out of training; the temperature is the one under which those have the least log loss. The frequency
-    and the order of the texts come from the given rows alone.
+    The value of a feature is scale x its share of the text's n-grams x its inverse document frequency: `idf`,
+    or that of the given texts. Every fifth text is kept out of training; the temperature is the one under which those
+    have the least log loss.
     """
     languages = tuple(sorted(set(labels)))
     target = np.array([languages.index(x) for x in labels])
@@ -94,10 +97,9 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.3
     for text in texts:
         found, _, _ = grams([text])
         rows.append(np.unique(found, return_counts=True))
-    df = np.zeros(size)
-    for features, _ in rows:
-        df[features] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if idf is None:
+        df = np.bincount(np.concatenate([f for f, _ in rows]), minlength=size)
+        idf = np.log((1 + len(rows)) / (1 + df)) + 1
     values = [scale * c / c.sum() * idf[f] for f, c in rows]
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 10 * k else np.zeros(len(rows), bool)
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
@@ -130,35 +132,80 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of the texts hold each hashed n-gram, and how many texts there are; one column, every row counted.
+
+    Each task adds up its texts; the sums, at most 2**FEATURE_BITS a task, are added by Spark, and so many reach the
+    driver.
+    """
+    size = 1 << FEATURE_BITS
+    small_batches(texts.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(size, np.int64), 0
+        for batch in sized(batches, 0, CHUNK_TEXT):
+            for a in range(0, batch.num_rows, 128):
+                part = batch.column(0).slice(a, 128).to_pylist()
+                found, bounds, _ = grams(part)
+                held = np.zeros((len(part), size), bool)
+                owner = np.repeat(np.arange(len(part)), np.diff(bounds))
+                for row in found:
+                    held[owner, row] = True
+                total += held.sum(axis=0)
+                rows += len(part)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["feature", "n"])
+
+    sums = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    df, n = np.zeros(size), 0
+    for r in sums:
+        if r["feature"] < 0:
+            n = r["n"]
+        else:
+            df[r["feature"]] = r["n"]
+    return df, n
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on a bounded sample: of each language the `per_language` rows of least hash that are not held out.
 
-    docs: doc_id, text, lang, of at most MOST_LANGUAGES languages (more are refused). One task trains, on at most
-    per_language whole texts for each language; the driver gets the weights, 2**FEATURE_BITS x languages floats.
+    docs: doc_id, text, lang, of at most MOST_LANGUAGES languages (more are refused). Document frequencies are counted
+    over all rows that may be learned from. One task trains, on whole texts: of each language as many of its sampled
+    rows, in the order of the hash, as begin within its equal part of `sample_bytes`; the driver gets the weights,
+    2**FEATURE_BITS x languages floats.
     """
     mine = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(SPREAD))
     counts = mine.groupBy("lang").agg(F.count("*").alias("rows"))
-    if counts.count() > MOST_LANGUAGES:
+    languages = counts.count()
+    if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not languages:
+        return Model((), np.zeros((0, 0), np.float32), np.zeros(0), 1.0)
+    df, n = document_frequencies(mine.select("text"))
+    idf = docs.sparkSession.sparkContext.broadcast(np.log((1 + n) / (1 + df)) + 1)
     # Twice the share that is wanted surely holds the rows of least hash, and is all that is ranked.
     ranked = mine.select("doc_id", "lang", place.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h").cast("double") * F.col("rows") < 2.0 * per_language * SPREAD)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
     sample = mine.join(F.broadcast(picked), "doc_id", "left_semi")  # at most per_language rows for each language
+    sample = sample.select("doc_id", place.alias("h"), "text", "lang").where("text is not null")
+    upto = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(upto), F.lit(0))
+    sample = sample.withColumn("before", before).where(F.col("before") < sample_bytes // languages).drop("before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["h"], r["doc_id"] or 0, r["text"]))
         if rows:
-            m = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+            m = fit([r["text"] for r in rows], [r["lang"] for r in rows], idf=idf.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(m.languages)]), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias.tolist()], pa.list_(pa.float64())), pa.array([m.temperature])],
                 names=["languages", "weights", "bias", "temperature"],
             )
 
     schema = "languages array<string>, weights binary, bias array<double>, temperature double"
-    got = sample.select("doc_id", place.alias("h"), "text", "lang").repartition(1).mapInArrow(run, schema).collect()
+    got = sample.repartition(1).mapInArrow(run, schema).collect()
     if not got:
         return Model((), np.zeros((0, 0), np.float32), np.zeros(0), 1.0)
     m = got[0]

@@ -33,40 +33,60 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return out.withColumn("level", level).select("source", "source_size", "idx", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
-def dealt(targets: DataFrame, slots: int) -> DataFrame:
-    """Slots 0..slots-1 dealt to sources by the golden-ratio sequence: (slot, idx).
+def slot_counts(targets: DataFrame, least_block: int, blocks: int, few: int) -> DataFrame:
+    """Add words (the target, rounded), block and slots of each source.
 
-    The sequence is kept in integers (slot * GOLDEN mod 2**32), so every prefix of the schedule holds each source
-    near its share and reruns agree to the bit.
+    A block is `least_block` words; more where a source would have over `blocks` of them, fewer where it would have
+    under `few`. So a source's share of the slots is in proportion to how finely it is cut, and no source is too small
+    to have its own.
     """
-    spark = targets.sparkSession
-    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    spans = targets.withColumn("hi", F.floor(F.sum("target").over(w) / total * GRID)).withColumn("top", F.max("idx").over(Window.partitionBy(F.lit(0))))
-    spans = spans.withColumn("hi", F.when(F.col("idx") == F.col("top"), F.lit(GRID)).otherwise(F.least("hi", F.lit(GRID))))
-    spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("idx")), F.lit(0))).where("lo < hi")
-    shift = GRID // CELLS
-    spans = spans.select("idx", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / shift), F.floor((F.col("hi") - 1) / shift))).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") % GRID * (GOLDEN - GRID), F.lit(GRID)).alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") / shift))
-    return points.join(F.broadcast(spans), "cell").where("point >= lo and point < hi").select("slot", "idx")
-
-
-def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """The slots with their rank within the source: (slot, idx, rank)."""
-    return dealt(targets, slots).withColumn("rank", F.row_number().over(Window.partitionBy("idx").orderBy("slot")) - 1)
+    words = F.floor(F.round("target", 6) + 0.5).cast("long")
+    block = F.greatest(F.lit(1), F.least(F.greatest(F.lit(least_block), F.ceil(words / blocks)), F.floor(words / few))).cast("long")
+    out = targets.withColumn("words", words).withColumn("block", block)
+    return out.withColumn("slots", F.ceil(F.col("words") / F.col("block")).cast("long"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, least_block: int = 64, to_the_word: bool = False) -> DataFrame:
-    """How many words of each document a mix of the sources takes.
+def schedule(sources: DataFrame) -> DataFrame:
+    """The order of the mix: (idx, rank, slot), a row for each block of each source.
 
-    docs: doc_id, source, text. The words of a source form one stream in the order of md5(doc_id); the stream is cut
-    into blocks of `least_block` words whatever the input, so a source's error does not grow with the corpus. The
-    r-th slot of a source takes block r modulo its number of blocks, and at most `cap` rounds are made: whole rounds
-    and then a prefix of the stream, so slots need only be counted. A source may get a few slots more or less than
-    its share, which tells for one of a few hundred words; with `to_the_word` all sources are dealt their targets
-    instead, rounded to a word.
-    Returns doc_id, source, size, source_size, target, taken.
+    sources: idx, slots. As many points as there are slots go round the golden ratio (slot * GOLDEN mod 2**32, in
+    integers, so reruns agree to the bit) and are mapped through the cumulative slot counts; a source's r-th point is
+    the slot of its r-th block. A source has blocks for a few points more or fewer than it got: points beyond its
+    blocks stay unused, blocks beyond its points follow after the last slot. So every prefix of the slots holds each
+    source near its share, and the whole holds each exactly. Points are ranked within sources of a bounded number of
+    slots each.
+    """
+    spark = sources.sparkSession
+    some = sources.where("slots > 0").select("idx", "slots")
+    upto = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy(F.lit(0))
+    spans = some.withColumns({"n": F.sum("slots").over(everything), "upto": F.sum("slots").over(upto)})
+    spans = spans.withColumn("hi", F.expr(f"cast(cast(upto as decimal(28,0)) * {GRID} div n as bigint)")).drop("upto")
+    spans = stored(spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("idx")), F.lit(0).cast("long"))), "spans")
+    total = spans.agg(F.max("n")).first()[0] or 0
+    shift = GRID // CELLS
+    wide = spans.where("lo < hi").select("idx", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / shift), F.floor((F.col("hi") - 1) / shift))).alias("cell"))
+    points = spark.range(total).select(F.col("id").alias("slot"), F.pmod(F.col("id") % GRID * (GOLDEN - GRID), F.lit(GRID)).alias("point"))
+    points = points.withColumn("cell", F.floor(F.col("point") / shift))
+    got = points.join(wide, "cell").where("point >= lo and point < hi").select("slot", "idx")
+    got = stored(got.withColumn("rank", F.row_number().over(Window.partitionBy("idx").orderBy("slot")) - 1), "points")
+    counts = spans.join(got.groupBy("idx").agg(F.count("*").alias("got")), "idx", "left")
+    late = counts.where(F.col("slots") > F.coalesce("got", F.lit(0)))
+    late = late.select("idx", F.explode(F.sequence(F.coalesce("got", F.lit(0)), F.col("slots") - 1)).alias("rank")).withColumn("slot", F.col("rank") + total)
+    used = got.join(spans.select("idx", "slots"), "idx").where("rank < slots").select("idx", "rank", "slot")
+    return used.unionByName(late.select("idx", F.col("rank").cast("int").alias("rank"), "slot"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, least_block: int = 64, blocks: int = 4096, few: int = 64) -> DataFrame:
+    """How many words of each document a mix of the sources takes, and when.
+
+    docs: doc_id, source, text. The words of a source form one stream in the order of md5(doc_id), cut into blocks of
+    equal size by source; see `slot_counts`. The r-th slot of a source in `schedule` takes block r, round after round
+    through the stream until its target, rounded to a word, is dealt; so all sources meet their targets, the smallest
+    too, at most `cap` rounds are made, and slots tell the order in which blocks are taken. Whole rounds and then a
+    prefix of the stream are taken, so documents need no list of their blocks.
+    Returns doc_id, source, size, source_size, target, taken, slot (that of the document's first word taken, -1 if
+    none is).
 
     Defined results: a null or empty text has size 0 and nothing is taken; null sources form one source, the last;
     repeated rows are documents of their own; an empty table gives no rows; other columns are ignored.
@@ -75,35 +95,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long")
     base = stored(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sizes")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(cap))
-    targets = stored(targets, "targets")
-    if to_the_word:
-        targets = targets.withColumn("words", F.round("target").cast("long"))
-    else:
-        asked = targets.agg(F.sum("target")).first()[0] or 0.0
-        counts = dealt(targets.where("target > 0"), -(-int(asked) // least_block)).groupBy("idx").agg(F.count("*").alias("n"))
-        blocks = F.ceil(F.col("source_size") / least_block)
-        n = F.least(F.coalesce("n", F.lit(0)), cap * blocks)
-        words = F.when(blocks > 0, F.floor(n / blocks) * F.col("source_size") + n % blocks * least_block)
-        targets = stored(targets.join(counts, "idx", "left").withColumn("words", F.coalesce(words, F.lit(0))).drop("n"), "dealt")
+    targets = stored(slot_counts(targets, least_block, blocks, few), "targets")
+    order = stored(schedule(targets), "slots")
     docs_of = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     docs_of = docs_of.withColumn("cell", F.floor(F.col("h") / (1 << 38)))
     placed = numbered(docs_of, ["idx"], "cell", [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "start").drop("cell", "h")
     prefix = F.col("words") % F.col("source_size") - F.col("start")
     taken = F.floor(F.col("words") / F.col("source_size")) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), prefix))
     placed = placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    placed = placed.withColumn("rank", F.when(F.col("taken") > 0, F.floor(F.col("start") / F.col("block"))))
+    # Documents of one block share its slot; a block's documents are as many as its words at most, so no key is hot.
+    out = placed.join(order, ["idx", "rank"], "left")
+    return out.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.coalesce("slot", F.lit(-1).cast("long")).alias("slot"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
     """The documents as often as a mix takes them: a row for each whole round, a started round counting from a half.
 
-    Targets are dealt to the word, so that no source is lost for being small. A document is never cut, so a source's
-    words stay near what `mix` takes of it. Rows of equal doc_id, source and
+    A document is never cut, so a source's words stay near what `mix` takes of it. Rows of equal doc_id, source and
     size are taken alike, each by its share of what is taken of them; documents without words go. All columns kept.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    took = mix(docs, weights, share, cap, to_the_word=True).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
-    took = took.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.round(F.col("__taken") / F.col("__rows") / F.col("size")).cast("int").alias("__times"))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
-    out = docs.join(took.where("__times > 0"), same).withColumn("__round", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*docs.columns)
+    took = mix(docs, weights, share, cap).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    took = took.select("doc_id", "source", "size", F.round(F.col("taken") / F.col("rows") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = rows["doc_id"].eqNullSafe(took["doc_id"]) & rows["source"].eqNullSafe(took["source"]) & (rows["size"] == took["size"])
+    out = rows.join(took, same).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("round"))
+    return out.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])

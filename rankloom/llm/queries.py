@@ -61,7 +61,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,46 +110,41 @@ SELECT p.page_id, p.host, p.path, hits.rule, coalesce(hits.verdict, 'allow') AS
 FROM p LEFT JOIN (SELECT DISTINCT * FROM hits) hits ON p.page_id IS NOT DISTINCT FROM hits.page_id AND p.host = hits.host AND p.path = hits.path
 """
 
+# Targets by the contract's own words: deal what is left by weight, cut at twice the source, deal the excess again,
+# until none is above. Taken: of the words 0 .. target - 1 along the source's stream, repeated, those of the document.
 OP8_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
-  FROM documents
-), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
-), i AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM s
-), c AS (SELECT *, [3, 1, 2][(idx % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS most FROM i
-), l AS (
-  SELECT *, most / w AS ratio, (1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT
-      - coalesce(sum(most) OVER (ORDER BY most / w, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-    / (sum(w) OVER (ORDER BY most / w, idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS lv
-  FROM c
-), t AS (SELECT source, source_size, idx, least(most, coalesce(max(CASE WHEN lv <= ratio THEN lv END) OVER () * w, most)) AS target FROM l
-), k AS (SELECT *, greatest(64, ceil(floor(sum(target) OVER ()) / 1048576))::BIGINT AS block, sum(target) OVER () AS asked FROM t
-), spans AS (
-  SELECT *, CASE WHEN idx = max(idx) OVER () THEN 4294967296 ELSE least(4294967296, floor(sum(target) OVER (ORDER BY idx) / asked * 4294967296)::BIGINT) END AS hi
-  FROM k WHERE target > 0
-), lohi AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY idx), 0) AS lo FROM spans
-), points AS (
-  SELECT g AS slot, (g::BIGINT * 2654435769) % 4294967296 AS point
-  FROM (SELECT unnest(generate_series(0, (SELECT (ceil(floor(max(asked)) / max(block)))::BIGINT - 1 FROM k))) AS g)
-), dealt AS (
-  SELECT idx, source_size, block, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS rank
-  FROM points JOIN lohi ON point >= lo AND point < hi
-), used AS (
-  SELECT idx, rank % ceil(source_size / block)::BIGINT AS b, count(*) AS times
-  FROM dealt WHERE rank < 2 * ceil(source_size / block)::BIGINT GROUP BY ALL
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM d GROUP BY source
+), c AS (SELECT *, [3, 1, 2][(idx % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS most FROM s
+), r(turn, idx, w, most, target, full_) AS (
+  SELECT 0, idx, w, most, 0.0::DOUBLE, false FROM c
+  UNION ALL
+  SELECT turn + 1, idx, w, most, CASE WHEN full_ OR share * w >= most THEN most ELSE share * w END, full_ OR share * w >= most
+  FROM (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - sum(CASE WHEN full_ THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER () AS share
+        FROM r WHERE turn < (SELECT count(*) + 1 FROM s))
+), t AS (
+  SELECT s.*, round(r.target, 6) AS target, floor(round(r.target, 6) + 0.5)::BIGINT AS words FROM r JOIN s USING (idx) WHERE turn = (SELECT max(turn) FROM r)
+), b AS (SELECT *, greatest(1, least(greatest(64, ceil(words / 4096)), floor(words / 64)))::BIGINT AS block FROM t
+), k AS (SELECT *, ceil(words / block)::BIGINT AS slots FROM b
+), sp AS (
+  SELECT idx, slots, floor((sum(slots) OVER (ORDER BY idx))::HUGEINT * 4294967296 // (sum(slots) OVER ())::HUGEINT)::BIGINT AS hi, (sum(slots) OVER ())::BIGINT AS n FROM k WHERE slots > 0
+), lohi AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY idx), 0) AS lo FROM sp
+), points AS (SELECT g AS slot, (g::BIGINT * 2654435769) % 4294967296 AS point FROM (SELECT unnest(generate_series(0, (SELECT max(n) - 1 FROM sp))) AS g)
+), dealt AS (SELECT idx, slots, slot, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS rank FROM points JOIN lohi ON point >= lo AND point < hi
+), got AS (SELECT idx, count(*) AS got FROM dealt GROUP BY idx
+), sched AS (
+  SELECT idx, rank, slot FROM dealt WHERE rank < slots
+  UNION ALL
+  SELECT idx, g.rank, g.rank + n FROM (SELECT idx, n, unnest(generate_series(coalesce(got, 0), slots - 1)) AS rank FROM sp LEFT JOIN got USING (idx)) g
 ), placed AS (
-  SELECT d.*, k.idx, k.source_size, k.target, k.block,
-    coalesce(sum(size) OVER (PARTITION BY k.idx ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-    row_number() OVER () AS n
+  SELECT d.*, k.idx, source_size, target, words, block, coalesce(sum(size) OVER (PARTITION BY k.idx ORDER BY substr(h, 1, 12), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
-), pieces AS (
-  SELECT *, unnest(generate_series(start // block, (start + size - 1) // block)) AS b FROM placed WHERE size > 0
-), got AS (
-  SELECT n, sum((least(start + size, (pieces.b + 1) * block) - greatest(start, pieces.b * block)) * times) AS taken
-  FROM pieces JOIN used ON pieces.idx = used.idx AND pieces.b = used.b GROUP BY n
+), took AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (SELECT coalesce(sum(greatest(0, least(words, i * source_size + start + size) - (i * source_size + start))), 0) FROM range(0, 2) x(i)) END::BIGINT AS taken FROM placed
 )
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (n)
+SELECT doc_id, size, source_size, target, taken, coalesce(slot, -1)::BIGINT AS slot FROM took LEFT JOIN sched ON sched.idx = took.idx AND sched.rank = took.start // took.block AND taken > 0
 """
 
 QUERIES = {

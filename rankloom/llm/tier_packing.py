@@ -9,11 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rankloom.llm.common import small_batches
+from rankloom.llm.common import numbered, small_batches, stored
 from rankloom.llm.token_text import chunks, codec, with_end
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, tier int, bundle long"
+
+BUNDLES_OF_CELL = 4096
 
 
 class Packer:
@@ -23,17 +27,15 @@ class Packer:
     it whole. Each tier has one open window. Where a piece does not fit into what is left of its window, the gap is
     filled from the open windows of shorter tiers, and only then is the piece cut. `finish` packs the open windows
     into longest windows and cuts what is left into powers of two, so nothing is padded. Windows are bundled to the
-    longest window's size, and each step group takes equally many bundles. Memory: the open windows, under twice
-    the longest window.
+    longest window's size. Memory: the open windows, under twice the longest window.
     """
 
-    def __init__(self, tiers: tuple[int, ...], step: int, base: int):
-        self.tiers, self.top, self.base = tiers, tiers[-1], base
+    def __init__(self, tiers: tuple[int, ...], part: int):
+        self.tiers, self.top, self.part = tiers, tiers[-1], part
         self.open: dict[int, list[list]] = {t: [] for t in tiers}
         self.fill = dict.fromkeys(tiers, 0)
         self.bundle = {t: (0, 0) for t in tiers}
         self.sequences = self.bundles = 0
-        self.per_step = max(1, step // self.top)
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -78,15 +80,15 @@ class Packer:
         return out
 
     def close(self, pieces: list[list], tier: int) -> None:
-        step, room = self.bundle.get(tier, (0, 0))
+        bundle, room = self.bundle.get(tier, (0, 0))
         if not room:
-            step, room = self.bundles // self.per_step, max(1, self.top // tier)
+            bundle, room = self.bundles, max(1, self.top // tier)
             self.bundles += 1
-        self.bundle[tier] = (step, room - 1)
+        self.bundle[tier] = (bundle, room - 1)
         offset = 0
         for doc_id, start, ids, total in pieces:
             crc = zlib.crc32(ids.astype("<u4").tobytes())
-            self.rows.append((doc_id, start, len(ids), crc, total, self.base + self.sequences, offset, tier, self.base + step))
+            self.rows.append((self.part, doc_id, start, len(ids), crc, total, self.sequences, offset, tier, bundle))
             offset += len(ids)
         self.sequences += 1
 
@@ -108,9 +110,9 @@ class Packer:
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
-        kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
+        kinds = [pa.int32()] + [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+        names = [f.split()[0] for f in PIECES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -123,18 +125,21 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 10
     """Pieces of the packed documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     docs: doc_id, text; tokenizer: path of the tokenizer's file. Each input partition is packed by its own task
-    without a shuffle; a partition adds at most a dozen short sequences, all of them powers of two. Sequence ids
-    and step groups carry the partition's number in their upper bits. The table must be one whose partitions are
-    read alike each time, such as files. Defined results: a null or empty text is the end id alone; repeated rows
-    and null ids are packed like others; an empty table gives no rows; other columns are ignored; a text of any
-    length is cut into full windows as it comes.
+    without a shuffle of tokens; a partition adds at most a dozen short sequences, all of them powers of two. The
+    pieces are written to the shared folder; from the sequences and bundles of each partition, one row each, sequence
+    ids are then numbered from 0 without gaps over all partitions, and bundles are dealt to step groups in turn by
+    the tokens before them: a group takes bundles until it has `step` tokens, so all but the last hold that many, give
+    or take a bundle. The table must be one whose partitions are read alike each time, such as files; split otherwise,
+    its pieces get other numbers. Defined results: a null or empty text is the end id alone; repeated rows and null
+    ids are packed like others; an empty table gives no rows; other columns are ignored; a text of any length is cut
+    into full windows as it comes.
     """
 
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(tokenizer).encode
-        packer = Packer(tuple(tiers), step, TaskContext.get().partitionId() << 33)
+        packer = Packer(tuple(tiers), TaskContext.get().partitionId())
         for batch in chunks(batches):
             ids, offsets = with_end(*encode(batch.column(1)), end_id)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
@@ -143,4 +148,13 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 10
         packer.finish()
         yield packer.take()
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
+    pieces = stored(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, PIECES), "pieces")
+    cell = F.floor(F.col("bundle") / BUNDLES_OF_CELL)
+    bundles = pieces.groupBy("part", "bundle").agg(F.sum("length").alias("tokens"))
+    bundles = numbered(bundles.withColumns({"cell": cell, "cells": F.struct("part", cell.alias("cell"))}), [], "cells", [F.col("bundle")], F.col("tokens"), "before")
+    bundles = bundles.select("part", "bundle", F.floor(F.col("before") / max(step, tiers[-1])).alias("step_group"))
+    parts = pieces.groupBy("part").agg(F.max("sequence").alias("last"))
+    earlier = F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", earlier.alias("first"))  # a row for each partition
+    out = pieces.join(F.broadcast(parts), "part").join(bundles, ["part", "bundle"])
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("sequence")).alias("sequence_id"), "offset", "tier", "step_group")

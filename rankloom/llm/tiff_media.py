@@ -21,9 +21,12 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 
 
-def unpack_bits(data: bytes) -> bytes:
+MOST_BYTES = 1 << 28
+
+
+def unpack_bits(data: bytes, most: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         i += 1
         if n < 128:
@@ -35,14 +38,18 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+def unpack_lzw(data: bytes, most: int) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; 256 clears the table, 257 ends the data."""
     out, at, width, held, bits = bytearray(), 0, 9, 0, 0
     table: list[bytes] = []
     last = b""
     while True:
         while bits < width:
-            if at >= len(data):
+            if at >= len(data) or len(out) >= most:
                 return bytes(out)
             held, bits, at = (held << 8) | data[at], bits + 8, at + 1
         code = (held >> (bits - width)) & ((1 << width) - 1)
@@ -68,7 +75,7 @@ def unpack_lzw(data: bytes) -> bytes:
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
 
 
-DECODERS = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+DECODERS = {NONE: lambda data, most: bytes(data[:most]), LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 
 
 def directories(data: bytes) -> Iterator[dict[int, tuple]]:
@@ -93,30 +100,49 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def page_pixels(data: bytes, fields: dict[int, tuple]) -> np.ndarray:
-    """Pixels of a page of 8-bit samples as height x width x samples."""
+def page_pixels(data: bytes, fields: dict[int, tuple], most: int = MOST_BYTES) -> np.ndarray:
+    """Samples of a page as height x width x samples: bytes, 16-bit integers, or 0 and 1 of a page of one bit a sample.
+
+    Chunky and planar data are read. A page that claims more than `most` bytes is refused before memory is taken, and
+    no strip or tile is unpacked beyond the bytes its place holds.
+    """
     one = lambda tag, default: fields.get(tag, (default,))[0]
-    width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
-    if set(fields.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1:
-        raise ValueError("only chunky 8-bit samples are read")
-    if one(COMPRESSION, 1) not in DECODERS or one(PREDICTOR, 1) not in (1, 2):
-        raise ValueError("unknown compression or predictor")
+    width, height, samples, planar = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(PLANAR, 1)
+    depths = set(fields.get(BITS, (1,)))
+    if len(depths) != 1 or not depths <= {1, 8, 16}:
+        raise ValueError(f"samples of {sorted(depths)} bits are not read")
+    depth = depths.pop()
+    if one(COMPRESSION, 1) not in DECODERS or one(PREDICTOR, 1) not in (1, 2) or planar not in (1, 2) or (depth == 1 and one(PREDICTOR, 1) == 2):
+        raise ValueError("unknown compression, predictor or order of planes")
+    if not width or not height or not samples or width * height * samples * max(1, depth // 8) > most:
+        raise ValueError(f"a page of {width} x {height} x {samples} samples")
     decode, predictor = DECODERS[one(COMPRESSION, 1)], one(PREDICTOR, 1)
     if TILE_OFFSETS in fields:
         wide, high, offsets, counts = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), fields[TILE_OFFSETS], fields[TILE_COUNTS]
     else:
         wide, high = width, min(one(ROWS_PER_STRIP, height), height)
         offsets, counts = fields[STRIP_OFFSETS], fields[STRIP_COUNTS]
-    across = -(-width // wide)
-    out = np.zeros((height, width, samples), np.uint8)
-    for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
-        y, x = k // across * high, k % across * wide
+    planes, together = (samples, 1) if planar == 2 else (1, samples)
+    across, down = -(-width // wide), -(-height // high)
+    if len(offsets) < planes * across * down or wide * high * together * max(1, depth // 8) > most:
+        raise ValueError("strips or tiles are missing or too large")
+    kind = {1: np.dtype("u1"), 8: np.dtype("u1"), 16: np.dtype("<u2" if data[:2] == b"II" else ">u2")}[depth]
+    out = np.zeros((height, width, samples), kind.newbyteorder("="))
+    for k in range(planes * across * down):
+        plane, place = divmod(k, across * down)
+        y, x = place // across * high, place % across * wide
         rows = high if TILE_OFFSETS in fields else min(high, height - y)
-        raw = np.frombuffer(decode(data[offset : offset + count]), np.uint8)[: rows * wide * samples]
-        block = raw.reshape(rows, wide, samples)
+        line = -(-wide * together // 8) if depth == 1 else wide * together * kind.itemsize
+        raw = decode(data[offsets[k] : offsets[k] + counts[k]], rows * line)
+        if len(raw) < rows * line:
+            raise ValueError("a strip or tile ends early")
+        block = np.frombuffer(raw[: rows * line], kind)
+        if depth == 1:
+            block = np.unpackbits(block.reshape(rows, line), axis=1)[:, : wide * together]
+        block = block.reshape(rows, wide, together).astype(out.dtype)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        part = out[y : y + rows, x : x + wide]
+            block = np.cumsum(block, axis=1, dtype=out.dtype)
+        part = out[y : y + rows, x : x + wide, plane : plane + together] if planar == 2 else out[y : y + rows, x : x + wide]
         part[:] = block[: part.shape[0], : part.shape[1]]
     return out
 
@@ -169,14 +195,35 @@ def feature(page: np.ndarray) -> str:
 PAGE_FIELDS = [("page", pa.int32()), ("pages", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("feature", pa.string()), ("error", pa.string())]
 
 
-def decode_pages(media: bytes | None) -> list[tuple]:
+UNREADABLE = (ValueError, KeyError, IndexError, ZeroDivisionError, MemoryError, OverflowError, struct.error, zlib.error)
+
+
+def page_rows(media: bytes | None, most: int = MOST_BYTES) -> Iterator[tuple]:
+    """A row for each page in turn; one that cannot be read has its error and no pixels, and the others stay.
+
+    A file whose walk of directories breaks off ends with a row for that error.
+    """
     if media is None:
-        return []
+        return
+    found, broken = [], None
     try:
-        found = [page_pixels(media, f) for f in directories(media)]
-        return [(i, len(found), p.shape[1], p.shape[0], p.tobytes(), feature(p), None) for i, p in enumerate(found)]
-    except (ValueError, KeyError, IndexError, ZeroDivisionError, MemoryError, struct.error, zlib.error) as e:
-        return [(0, 0, None, None, None, None, str(e)[:200])]
+        for fields in directories(media):
+            found.append(fields)
+    except UNREADABLE as e:
+        broken = str(e)[:200]
+    pages = len(found) + (broken is not None)
+    for i, fields in enumerate(found):
+        try:
+            p = page_pixels(media, fields, most)
+            yield i, pages, p.shape[1], p.shape[0], p.tobytes(), feature(p), None
+        except UNREADABLE as e:
+            yield i, pages, None, None, None, None, str(e)[:200] or type(e).__name__
+    if broken is not None:
+        yield len(found), pages, None, None, None, None, broken
+
+
+def decode_pages(media: bytes | None, most: int = MOST_BYTES) -> list[tuple]:
+    return list(page_rows(media, most))
 
 
 def page_batches(batches: Iterator[pa.RecordBatch], media: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +237,7 @@ def page_batches(batches: Iterator[pa.RecordBatch], media: str, keep: list[str])
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[n for n, _ in PAGE_FIELDS]])
                 at, rows, size = [], [], 0
             if i < batch.num_rows:
-                for row in decode_pages(batch.column(media)[i].as_py()):
+                for row in page_rows(batch.column(media)[i].as_py()):
                     at.append(i)
                     rows.append(row)
                     size += len(row[4] or b"")
@@ -199,8 +246,9 @@ def page_batches(batches: Iterator[pa.RecordBatch], media: str, keep: list[str])
 def tiff_pages(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
     """One row per page of a column of TIFF files: the kept columns, page, pages, width, height, pixels, feature, error.
 
-    Defined results: a null media value has no rows; one that cannot be read has a single row with `error` and nulls;
-    repeated rows are decoded each; an empty table gives no rows; kept columns named like an added one are refused.
+    pixels are the samples in rows, 16-bit ones in little-endian order. Defined results: a null media value has no
+    rows; a page that cannot be read, or claims more than MOST_BYTES, has `error` and nulls while the file's other
+    pages are given, and so has the end of a broken file; BigTIFF and floating-point samples are such errors; repeated rows are decoded each; an empty table gives no rows; kept columns named like an added one are refused.
     """
     names = {n for n, _ in PAGE_FIELDS}
     if names & set(keep):

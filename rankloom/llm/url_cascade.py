@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import stored
+
+NEXT_RATE = 0.01
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,16 +45,13 @@ class Level:
     seed: int
 
     def holds(self, key: Column) -> Column:
-        bits = F.array(*[F.lit(w) for w in self.words])
-        found = F.lit(True)
-        for place in places(key, len(self.words) * 64, self.hashes, self.seed):
-            word = F.element_at(bits, (F.shiftright(place, 6) + 1).cast("int"))
-            found = found & (F.expr("1L").bitwiseAND(shifted_right(word, place)) != 0)
-        return found
+        bits = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded to one literal by the optimizer
+        return F.forall(F.array(*places(key, len(self.words) * 64, self.hashes, self.seed)), lambda p: bit(bits, p))
 
 
-def shifted_right(word: Column, place: Column) -> Column:
-    return F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int"))
+def bit(words: Column, place: Column) -> Column:
+    word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
+    return F.lit(1).cast("long").bitwiseAND(F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int"))) != 0
 
 
 def places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
@@ -89,7 +90,9 @@ def cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: i
     Level 0 encodes the listed keys at a rate of n_listed / n_universe, so that about as many other keys of the
     universe pass as are listed; level 1 encodes those, level 2 the listed keys that level 1 wrongly holds, and so
     on until nothing passes. The universe is read once; sizes follow the number of listed keys. A level that holds
-    wrongly even its whole input is built again with another salt.
+    wrongly even its whole input is built again with another salt. Keys stay in tables; the driver gets the finished
+    filters, whose bits follow the number of keys of each level (about 1.44 log2(n_universe / n_listed) bits for each
+    listed key in level 0, 1.44 log2(1 / NEXT_RATE) for each key after that).
     """
     if not n_listed:
         return Cascade([])
@@ -97,48 +100,63 @@ def cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: i
     levels = [level(listed, n_listed, fpp, 1)]
     inside = listed.select("key").distinct()
     passed = universe.where(levels[0].holds(F.col("key"))).select("key").distinct()
-    outside = passed.join(inside, "key", "left_anti")
-    outside = outside.sparkSession.createDataFrame(outside.collect(), "key string")  # expected size n_listed
+    sides = [(inside, n_listed), kept_keys(passed.join(inside, "key", "left_anti"))]
     for i in range(1, max_levels):
-        mine, other = (outside, inside) if i % 2 else (inside, outside)
-        n = mine.count()
+        mine, n = sides[i % 2]
         if not n:
             break
-        one = level(mine, n, 0.5, i + 1)
+        one = level(mine, n, NEXT_RATE, i + 1)
         levels.append(one)
-        wrong = other.where(one.holds(F.col("key")))
-        if i % 2:
-            inside = wrong
-        else:
-            outside = wrong
+        other = sides[1 - i % 2][0]
+        sides[1 - i % 2] = kept_keys(other.where(one.holds(F.col("key"))))
     else:
         raise RuntimeError("the cascade did not end")
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", url: str = "url") -> DataFrame:
+def kept_keys(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The keys as a written table, and how many they are."""
+    out = stored(keys, "keys")
+    return out, out.count()
+
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """Rules as (verdict, key, n): the key is host and path, n the length of the path."""
+    if not isinstance(rules, DataFrame):
+        kind = "array<struct<verdict:string,host:string,path:string>>"
+        text = json.dumps([{"verdict": v, "host": h, "path": p} for v, h, p in rules])
+        rules = spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("r")).select("r.*")
+    return rules.where("host is not null and path is not null").select("verdict", F.concat("host", "path").alias("key"), F.length("path").alias("n"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """Add host, path, rule and verdict to a table of urls.
 
-    rules: (verdict, host, path prefix). A rule fits its host and all subdomains; of those that fit, the longest
-    wins. One cascade over the corpus's complete key universe tells which keys are rules, a second which of the
-    rules block; a url without a rule gets `default`. Defined results: a null url or one without `://` has an empty
-    host and path; a path shorter than every rule's has no keys; with no rules or an empty table every verdict is
-    `default`; repeated urls are judged alike; other columns pass through, and columns named host, path, rule or
-    verdict are replaced.
+    rules: (verdict, host, path prefix), as a list or a table of these columns. A rule fits its host and all
+    subdomains; of those that fit, the longest wins. One cascade over the corpus's complete key universe tells which
+    keys are rules, a second which of the rules block; a url without a rule gets `default`. Defined results: a null
+    url or one without `://` has an empty host and path; a path shorter than every rule's has no keys; with no rules
+    or an empty table every verdict is `default`; a key that is listed with both verdicts blocks, repeated rules count
+    once, rules with a null are left out; repeated urls are judged alike; other columns pass through, and columns
+    named host, path, rule or verdict are replaced.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
-    lengths = sorted({len(p) for _, _, p in rules})
-    plain = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    if not rules:
+    listed = stored(rule_table(spark, rules).distinct(), "rules")
+    lengths = sorted(r["n"] for r in listed.select("n").distinct().collect())  # one row for each length of a path
+    plain = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
+    if not lengths:
         return plain.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keyed = pages.select(F.explode(keys_of(host, path, lengths)).alias("key"))
-    listed = spark.createDataFrame([(h + p,) for _, h, p in rules], "key string")
-    blocked = spark.createDataFrame([(h + p,) for v, h, p in rules if v == "block"], "key string")
-    fits = cascade(listed, keyed, len(rules), max(1, keyed.count()))
-    blocks = cascade(blocked, listed, blocked.count(), len(rules))
+    keys = listed.select("key").distinct()
+    blocked = listed.where("verdict = 'block'").select("key").distinct()
+    n = keys.count()
+    fits = cascade(keys, keyed, n, max(1, keyed.count()))
+    blocks = cascade(blocked, keys, blocked.count(), n)
     found = F.filter(keys_of(F.col("host"), F.col("path"), lengths), fits.holds)
     longest = F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))
-    out = plain.withColumn("rule", longest["k"])
+    # One row for one row: a generated column is computed once, wherever later filters and columns refer to it.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    out = plain.select("*", once(longest["k"], "rule"))
     verdict = F.when(F.col("rule").isNull(), default).when(blocks.holds(F.col("rule")), "block").otherwise("allow")
-    return out.withColumn("verdict", verdict)
+    return out.select("*", once(verdict, "verdict"))

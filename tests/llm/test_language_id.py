@@ -74,3 +74,21 @@ def test_sparse_weights():
     dense = li.fit([t for _, t, _ in data], [x for _, _, x in data], l1=0.0)
     sparse = li.fit([t for _, t, _ in data], [x for _, _, x in data], l1=0.05)
     assert (sparse.weights != 0).sum() < 0.8 * (dense.weights != 0).sum()
+
+
+def test_document_frequencies_of_all_rows(spark):
+    texts = [t for _, t, _ in rows(300)] + [None, "", "über " * 30_000]
+    df, n = li.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    want = np.zeros(1 << li.FEATURE_BITS)
+    for t in texts:
+        want[np.unique(li.grams([t])[0])] += 1
+    assert n == 303 and (df == want).all()
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    """A few very long texts do not go to the training task together; the model is still there."""
+    docs = frame(spark, [*rows(120), *[(1000 + i, "der und ist nicht " * 20_000, "de") for i in range(12)]])
+    model = li.train(docs, sample_bytes=300_000)
+    assert model.languages == ("de", "en", "fr")
+    right = [r["lang"] == r["lang_pred"] for r in li.predict(docs, model, ["lang"]).collect()]
+    assert np.mean(right) > 0.9

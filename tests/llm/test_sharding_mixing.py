@@ -89,11 +89,40 @@ def test_mix(spark):
 
 
 def test_schedule_is_even(spark):
-    targets = spark.createDataFrame([("a", 0, 3.0), ("b", 1, 1.0)], "source string, idx int, target double")
-    rows = mx.schedule(targets, 1000).orderBy("slot").collect()
-    assert len(rows) == 1000
+    rows = mx.schedule(spark.createDataFrame([(0, 750), (1, 250), (2, 0)], "idx int, slots long")).orderBy("slot").collect()
+    assert len(rows) == 1000 and len({r["slot"] for r in rows}) == 1000
+    assert sorted((r["idx"], r["rank"]) for r in rows) == [(i, k) for i, n in ((0, 750), (1, 250)) for k in range(n)]
     for n in (10, 100, 1000):
         assert sum(r["idx"] == 0 for r in rows[:n]) == pytest.approx(0.75 * n, abs=2)
+    one = [r["rank"] for r in rows if r["idx"] == 1]
+    assert one == sorted(one)
+
+
+def test_many_small_sources(spark):
+    """600 sources of one document beside three large ones: each meets its target to the word."""
+    rows = [(i, f"big{i % 3}", "w " * 400) for i in range(900)] + [(10_000 + i, f"one{i:03}", "w " * (1 + i % 90)) for i in range(600)]
+    got = mx.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    took, target = Counter(), {}
+    for r in got:
+        took[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 603 and all(abs(took[s] - t) <= 0.5 for s, t in target.items())
+    slots = sorted(r["slot"] for r in got if r["source"].startswith("one"))
+    assert slots[0] >= 0 and slots[150] < slots[300] < slots[450]  # not all at one end
+
+
+def test_order_of_the_mix(spark):
+    """Documents in the order of their slots hold each source near its share at every prefix."""
+    rows = [(i, "ab"[i % 3 == 0], "w " * 20) for i in range(3000)]
+    got = sorted(mx.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1,)).where("slot >= 0").collect(), key=lambda r: r["slot"])
+    total, targets = sum(r["taken"] for r in got), {r["source"]: r["target"] for r in got}
+    firsts = {s: sum(r["taken"] for r in got if r["source"] == s) for s in targets}
+    for n in (200, 1000, 2000):
+        part = Counter()
+        for r in got[:n]:
+            part[r["source"]] += r["taken"]
+        done = sum(part.values()) / total
+        assert all(part[s] == pytest.approx(done * firsts[s], rel=0.2) for s in targets)
 
 
 def test_mix_edge_cases(spark):
@@ -128,3 +157,17 @@ def test_smallest_sources_keep_their_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     found = {r["source"]: r["count"] for r in mx.mixed_documents(docs, weights=(1,)).groupBy("source").count().collect()}
     assert [found.get(f"small{i}") for i in range(40)] == [2] * 40
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like the operator's own come back as they went in."""
+    rows = spark.createDataFrame([(i, f"g{i % 7}", i * 2, "x" * 200_000 if i == 3 else "t") for i in range(100)] + [(None, "g1", 5, None), (101, None, 6, "y")], "id long, same string, v long, text string")
+    names = ["node", "__n", "__hub", "__at", "__cell", "__row", "__node", "__rows", "key", "round"]
+    wide = rows.withColumns({n: F.concat(F.lit(n), F.col("v")) for n in names})
+    out = ls.shard_rows(wide, "id", "same", 4).collect()
+    assert len(out) == 102 and all(r[n] == f"{n}{r['v']}" for r in out for n in names)
+    assert sorted(Counter(r["shard"] for r in out).values()) == [25, 25, 26, 26]
+    for k in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+    mixed = mx.mixed_documents(wide.withColumnsRenamed({"id": "doc_id", "same": "source"}))
+    assert mixed.columns == wide.withColumnsRenamed({"id": "doc_id", "same": "source"}).columns and all(r["round"] == f"round{r['v']}" for r in mixed.collect())

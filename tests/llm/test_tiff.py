@@ -156,3 +156,49 @@ def test_texts(spark):
         assert r["feature"].count(",") == -(-len(full) // 6400) - 1
     assert rows[2][1:] == rows[6][1:]
     assert tm.text_round_trip(frame.limit(0)).count() == 0
+
+
+def test_a_bad_page_costs_no_other():
+    pages = [np.full((40, 64), i, np.uint8) for i in range(3)]
+    data = bytearray(tm.write_pages(pages))
+    strip = [f[273][0] for f in tm.directories(bytes(data))][1]
+    data[strip : strip + 4] = b"\xff" * 4
+    rows = tm.decode_pages(bytes(data))
+    assert [(r[0], r[1], r[6] is None) for r in rows] == [(0, 3, True), (1, 3, False), (2, 3, True)]
+    assert rows[0][4] == pages[0].tobytes() and rows[2][4] == pages[2].tobytes()
+    ends = [f[273][0] for f in tm.directories(bytes(data))][2]
+    broken = tm.decode_pages(bytes(data[:ends]))  # the last directory is cut off
+    assert broken[0][6] is None and broken[-1][6] and len(broken) == 3
+
+
+def test_claims_are_bounded():
+    small = bytearray(tm.write_pages([np.zeros((2, 64), np.uint8)]))
+    at = struct.unpack("<I", small[4:8])[0]
+    for k, value in ((0, 2**31), (1, 2**31)):  # width, height
+        data = bytearray(small)
+        struct.pack_into("<I", data, at + 2 + 12 * k + 8, value)
+        assert tm.decode_pages(bytes(data))[0][6]
+    assert len(tm.inflate(zlib.compress(bytes(10**7)), 100)) == 100
+    assert len(tm.unpack_bits(b"\x81a" * 1000, 300)) <= 428
+
+
+def test_other_samples():
+    """Planar order, 16-bit samples and pages of one bit a sample, in strips without compression."""
+
+    def page(fields, data):
+        at = 8 + len(data) + len(data) % 2
+        ifd = struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", t, 4, 1, v) if not isinstance(v, tuple) else struct.pack("<HHIHH", t, 3, 2, *v) for t, v in sorted(fields.items())) + bytes(4)
+        return b"II" + struct.pack("<HI", 42, at) + data + bytes(len(data) % 2) + ifd
+
+    rng = np.random.default_rng(0)
+    wide = rng.integers(0, 65536, (5, 7)).astype("<u2")
+    rows = tm.decode_pages(page({256: 7, 257: 5, 258: 16, 259: 1, 273: 8, 277: 1, 278: 5, 279: 70}, wide.tobytes()))
+    assert rows[0][6] is None and rows[0][4] == wide.tobytes()
+    bits = rng.integers(0, 2, (5, 11)).astype(np.uint8)
+    rows = tm.decode_pages(page({256: 11, 257: 5, 258: 1, 259: 1, 273: 8, 277: 1, 278: 5, 279: 10}, np.packbits(bits, axis=1).tobytes()))
+    assert rows[0][4] == bits.tobytes()
+    both = rng.integers(0, 256, (3, 4, 2)).astype(np.uint8)
+    planes = np.moveaxis(both, 2, 0)
+    rows = tm.decode_pages(page({256: 4, 257: 3, 258: (8, 8), 259: 1, 273: (8, 20), 277: 2, 278: 3, 279: (12, 12), 284: 2}, planes.tobytes()))
+    assert rows[0][6] is None and rows[0][4] == both.tobytes()
+    assert "bits" in tm.decode_pages(page({256: 7, 257: 5, 258: 32, 273: 8, 279: 70}, wide.tobytes()))[0][6]

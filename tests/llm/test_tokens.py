@@ -1,6 +1,6 @@
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -86,17 +86,22 @@ def test_packing(spark, plain, tiers):
             assert o == at
             at += n
         assert at & (at - 1) == 0 and at <= tiers[-1]  # no padding
-    assert all(sum(t.values()) <= 4 * tiers[-1] for t in steps.values())
+    assert sorted(sequences) == list(range(len(sequences)))
+    filled = Counter()
+    for r in rows:
+        filled[r["step_group"]] += r["length"]
+    assert sorted(filled) == list(range(len(filled)))
+    assert all(abs(filled[k] - 4 * tiers[-1]) <= tiers[-1] for k in range(len(filled) - 1)) and filled[len(filled) - 1] <= 5 * tiers[-1]
 
 
 def test_packer_fills_gaps_from_shorter_tiers():
-    p = tier_packing.Packer((4, 8), 16, 0)
+    p = tier_packing.Packer((4, 8), 0)
     p.add(1, np.arange(6, dtype=np.uint32))
     p.add(2, np.arange(2, dtype=np.uint32))
     p.add(3, np.arange(7, dtype=np.uint32))  # does not fit after 1; 2 fills the gap
-    assert [(r[0], r[2], r[6]) for r in p.rows] == [(1, 6, 0), (2, 2, 6)]
+    assert [(r[1], r[3], r[7]) for r in p.rows] == [(1, 6, 0), (2, 2, 6)]
     p.finish()
-    assert sum(r[2] for r in p.rows) == 15
+    assert sum(r[3] for r in p.rows) == 15
 
 
 def test_packing_edge_cases(spark):
@@ -134,3 +139,15 @@ def test_words_of_one_hash_and_other_tokenizers(monkeypatch):
     other = token_text.WordCodec(public.path("byte_bpe_50k.json"))
     assert not other.by_words  # its ids depend on the space before a word
     assert read(other) == [other.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_start_follows_the_file(spark, tmp_path):
+    """Rows of one doc_id are counted in the order they stand in the file, not by their lengths."""
+    path = str(tmp_path / "tokens")
+    orc_tokens.write_tokens(docs(spark, [(7, "one two three four", 1), (7, "one", 1), (7, "one two", 1), (9, "x", 1)]).coalesce(1), path, PATH)
+    stored = [r for f in sorted(tmp_path.glob("tokens/*.orc")) for r in spark.read.orc(str(f)).orderBy("row").collect()]
+    at, want = 0, []
+    for r in stored:
+        want.append((r["doc_id"], at, len(r["ids"])))
+        at += len(r["ids"])
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in orc_tokens.token_index(spark, path).collect()) == sorted(want)
