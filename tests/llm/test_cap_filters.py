@@ -72,3 +72,41 @@ def test_edge_cases(spark):
         assert got[i] == (0, i, True)
     assert got[None][0] == 0
     assert cf.near_duplicates(frame(spark, [])).count() == 0
+
+
+def skewed(n, dim, seed):
+    """Dense clusters of all sizes in few directions: links at every angle about the bound."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((40, dim)) * np.linspace(3, 0.1, dim)
+    which = np.minimum(rng.zipf(1.3, n) - 1, 39)
+    return (centres[which] + rng.standard_normal((n, dim)) * rng.choice([0.05, 0.15, 0.3], (n, 1)) * np.abs(centres[which]).mean(axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("block", [2048, 64])
+def test_dense_clusters(spark, monkeypatch, block):
+    """Caps of hundreds of rows, in one block and in many, with pairs counted and not listed."""
+    monkeypatch.setattr(cf, "ROWS_OF_BLOCK", block)
+    monkeypatch.setattr(cf, "LARGE", 50)
+    x = np.concatenate([skewed(1200, 24, 3), skewed(1200, 24, 3)[:100]])
+    degree, label = brute(x, 0.95)
+    rows = cf.near_duplicates(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).orderBy("vec_id").collect()
+    found = np.array([r["n_links"] for r in rows])
+    assert (found <= degree).all() and found.sum() >= 0.98 * degree.sum()
+    if block == 2048:
+        assert degree.max() > 300
+    assert np.mean([r["component_id"] == label[r["vec_id"]] for r in rows]) >= 0.98
+
+
+def test_roots():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sure = rng.random((7, 9)) < 0.12
+        a, b = cf.joined_roots(sure, False)
+        for i, j in zip(*np.nonzero(sure), strict=True):
+            assert a[i] == b[j]
+        links = {(i, 7 + j) for i, j in zip(*np.nonzero(sure), strict=True)}
+        label = list(range(16))
+        for _ in range(16):
+            for x, y in links:
+                label[x] = label[y] = min(label[x], label[y])
+        assert [*a, *b] == label
