@@ -19,6 +19,7 @@ GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 GEAR_BYTES = 32
 CHUNK_TEXT = 1_000_000
 EDGE = 24
+NEAR = 12
 FOUND = "doc_id long, start long, end long, n_words int, d1 long, d2 long, next long, words_before array<int>, starts_before array<long>, words_after array<int>, ends_after array<long>"
 
 
@@ -101,17 +102,19 @@ def lists(at: np.ndarray, count: np.ndarray, side: int, values: np.ndarray) -> p
 def edge_lists(chunks: Chunks, hit: np.ndarray, side: int) -> tuple[pa.Array, pa.Array]:
     """Up to EDGE words next to each hit chunk, nearest first: their hashes, and their start (side -1) or end (side 1).
 
-    Places are given for words of no hit chunk only, so there are none beside a chunk whose neighbour is hit too.
+    Beside a chunk whose neighbour is hit too these are the next NEAR words, without places; else the words up to the
+    next hit chunk.
     """
     owner = chunks.owner[hit]
     if side < 0:
-        near, limit, place = chunks.first[hit], chunks.bounds[owner], chunks.starts
-        stop = np.maximum(limit, np.concatenate([[0], chunks.last[hit][:-1] + 1]))
+        near, edge, place = chunks.first[hit], chunks.bounds[owner], chunks.starts
+        stop = np.maximum(edge, np.concatenate([[0], chunks.last[hit][:-1] + 1]))
     else:
-        near, limit, place = chunks.last[hit], chunks.bounds[owner + 1] - 1, chunks.ends
-        stop = np.minimum(limit, np.append(chunks.first[hit][1:] - 1, len(place)))
+        near, edge, place = chunks.last[hit], chunks.bounds[owner + 1] - 1, chunks.ends
+        stop = np.minimum(edge, np.append(chunks.first[hit][1:] - 1, len(place)))
     hashes = (chunks.words >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return lists(near, np.minimum(abs(near - limit), EDGE), side, hashes), lists(near, np.minimum(abs(near - stop), EDGE), side, place)
+    room = np.minimum(abs(near - stop), EDGE)
+    return lists(near, np.where(room > 0, room, np.minimum(abs(near - edge), NEAR)), side, hashes), lists(near, room, side, place)
 
 
 def shared_chunks(docs: DataFrame, radius: int) -> DataFrame:
@@ -151,14 +154,16 @@ def shared_chunks(docs: DataFrame, radius: int) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(emit, FOUND), "chunks")
 
 
-def extended(mine: DataFrame, keepers: DataFrame, side: str, place: str, out: str) -> DataFrame:
+def extended(mine: DataFrame, keepers: DataFrame, rows: int, side: str, place: str, out: str) -> DataFrame:
     """How far runs go on beyond their last whole chunk on one side: (doc_id, start, end, out, out_words).
 
-    mine: chunks with words of no other chunk beside them; keepers: the same digests' chunks in their keepers. The
+    mine: chunks with words of no other chunk beside them; keepers: the same digests' chunks in their keepers, with
+    `__rows`, how many of all `rows` chunks have the digest. The
     words beside the two are compared from the chunk outwards, up to the first that differ.
     """
     words, places = f"words_{side}", f"{place}s_{side}"
-    joined = mine.where(F.size(places) > 0).select("doc_id", "start", "end", words, places, "d1", "d2").join(keepers.select("d1", "d2", F.col(words).alias("__theirs")), ["d1", "d2"])
+    some = mine.where(F.size(places) > 0).select("doc_id", "start", "end", words, places, "d1", "d2")
+    joined = join_counted(some, keepers.select("d1", "d2", F.col(words).alias("__theirs"), "__rows"), ["d1", "d2"], rows)
     same = F.zip_with(words, "__theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
     n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))
     got = joined.withColumn("n", F.least(n.cast("int"), F.size(places))).where("n > 0")
@@ -173,21 +178,24 @@ def passages(docs: DataFrame, radius: int, min_words: int) -> DataFrame:
     per = found.groupBy(*digest).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__last"), F.count("*").alias("__rows"))
     per = stored(per.where("first_doc_id < __last").drop("__last"), "digests")
     rows = found.count()
-    chunks = join_counted(found.select("doc_id", "start", "end", "n_words", "next", *digest), per, digest, rows).drop(*digest).distinct()
+    chunks = join_counted(found.select("doc_id", "start", "end", "n_words", "next", *digest), per, digest, rows).drop(*digest)
     chunks = chunks.withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
     order = Window.partitionBy("doc_id").orderBy("start")
+    chunks = chunks.withColumn("__again", F.lag("start").over(order).eqNullSafe(F.col("start"))).where("not __again")  # of equal rows one
     apart = (F.lag("next").over(order) != F.col("start")) | (F.lag("kept").over(order) != F.col("kept"))
     runs = chunks.withColumn("__part", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("__part", F.sum("__part").over(order))
     runs = runs.groupBy("doc_id", "__part", "kept").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"), F.max_by("first_doc_id", F.struct("n_words", "start")).alias("first_doc_id"),
         F.min_by("end", "start").alias("__e"), F.max_by("start", "end").alias("__s"),
     )
-    mine = join_counted(found.where("size(starts_before) + size(ends_after) > 0").drop("next", "n_words"), per, digest, rows)
+    edges = found.where("size(starts_before) + size(ends_after) > 0").drop("next", "n_words")
+    mine = join_counted(edges, per.withColumn("shared", F.col("__rows")), digest, rows)
     mine = stored(mine.where("doc_id <> first_doc_id"), "edges")
-    asked = mine.select(*digest, F.col("first_doc_id").alias("doc_id")).distinct()
-    keepers = found.select("doc_id", "start", *digest, "words_before", "words_after").join(asked, [*digest, "doc_id"], "left_semi")
-    keepers = keepers.groupBy(*digest).agg(F.min(F.struct("start", "words_before", "words_after")).alias("k")).select(*digest, "k.*")
-    before, after = extended(mine, keepers, "before", "start", "__from"), extended(mine, keepers, "after", "end", "__to")
+    asked = mine.select(*digest, F.col("first_doc_id").alias("doc_id"), "shared").distinct()
+    keepers = found.select("doc_id", "start", *digest, "words_before", "words_after").join(asked, [*digest, "doc_id"])
+    keepers = keepers.groupBy(*digest).agg(F.min(F.struct("start", "words_before", "words_after")).alias("k"), F.max("shared").alias("__rows"))
+    keepers = stored(keepers.select(*digest, "k.*", "__rows"), "keepers")
+    before, after = extended(mine, keepers, rows, "before", "start", "__from"), extended(mine, keepers, rows, "after", "end", "__to")
     runs = runs.join(before.withColumnRenamed("end", "__e"), ["doc_id", "start", "__e"], "left").join(after.withColumnRenamed("start", "__s"), ["doc_id", "__s", "end"], "left")
     wider = ~F.col("kept")
     more = F.coalesce("__from_words", F.lit(0)) + F.coalesce("__to_words", F.lit(0))
