@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import components, join_counted, partitions, small_batches, stored
+from rankloom.llm.common import components, partitions, small_batches, stored
 
 BLOCKS = 2
 BUCKET = 8
@@ -22,6 +22,7 @@ LEAST_HITS = 12
 ROWS_OF_BLOCK = 2048
 ROWS_AT_ONCE = 20_000
 LARGE = 128
+MOST_BROADCAST = 100_000
 MARGIN = 1e-3
 PAIR, LINK, COUNT = 0, 1, 2
 
@@ -266,21 +267,22 @@ def compared(reps: DataFrame, filters: CapFilters, cosine: float) -> DataFrame:
 
     reps: id, v (lists of the filters' dimension), copies. PAIR: a and b pass the 8-bit comparison, which loses no true
     pair, and are to be verified; LINK: a and b surely reach the bound; COUNT: a surely reaches it with n vectors more,
-    copies counted, which are not listed. Pairs of which one is not in a cap of more than LARGE rows with the other are
-    listed; the others are dealt as pairs of blocks of ROWS_OF_BLOCK rows, so no task holds a whole cap, and a cluster
-    of m vectors gives about m rows and not all its pairs.
+    copies counted, which are not listed. Pairs that share no cap of more than LARGE rows are listed. Larger caps
+    (broadcast where they are at most MOST_BROADCAST) are dealt as pairs of blocks of ROWS_OF_BLOCK rows, so no task
+    holds a whole cap, and a cluster of m vectors gives about m rows and not all its pairs.
     """
     angle = math.acos(cosine)
     rows = capped(reps, filters)
-    sizes = stored(rows.groupBy("cap").agg(F.count("*").alias("n"), F.count("*").alias("__rows")).where("n > 1"), "sizes")
-    total = rows.count()
-    rows_in = join_counted(rows, sizes, ["cap"], total)
-    hot = sizes.where(F.col("n") > LARGE)
-    if hot.isEmpty():
-        rows_in = rows_in.withColumn("large", F.array().cast("array<bigint>"))
+    hot = rows.groupBy("cap").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
+    hot = stored(hot, "large")
+    n_hot = hot.count()
+    none = F.array().cast("array<bigint>")
+    if not n_hot:
+        rows_in = rows.withColumns({"n": F.lit(1).cast("long"), "large": none})
     else:
-        of = join_counted(rows.select("cap", "id"), hot, ["cap"], total).groupBy("id").agg(F.collect_list("cap").alias("large"))
-        rows_in = rows_in.join(of, "id", "left").withColumn("large", F.coalesce("large", F.array().cast("array<bigint>")))
+        few = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
+        of = rows.select("cap", "id").join(few, "cap").groupBy("id").agg(F.collect_list("cap").alias("large"))
+        rows_in = rows.join(few, "cap", "left").join(of, "id", "left").withColumns({"n": F.coalesce("n", F.lit(1)), "large": F.coalesce("large", none)})
     rows_in = rows_in.withColumn("blocks", F.ceil(F.col("n") / ROWS_OF_BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("id", "cap"), F.col("blocks")).cast("int")
     pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))

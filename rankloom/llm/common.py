@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankloom.session import checkpoint_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,22 +25,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_OF_BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from `spark.checkpoint.dir`.
-
-    Only a local master may lack the setting (tests); a temporary folder is set for it then.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -46,10 +34,25 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     writer = df.write.partitionBy(*by) if by else df.write
+    _WRITTEN.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def finished(build: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """The stored result of `build`, with all tables that were written on the way to it removed."""
+    first = len(_WRITTEN)
+    out = stored(build(), name)
+    keep = _WRITTEN[-1]
+    for path in _WRITTEN[first:-1]:
+        drop_path(spark, path)
+    _WRITTEN[first:] = [keep]
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
