@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import language_id, mixing, ngram_jaccard, substring_dedup, tier_packing
-from rankloom.llm.common import stored
+from rankloom.llm.common import drop_stored, finished
 from rankloom.llm.queries import word_tokenizer
 
 
@@ -41,8 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder, each written to the shared folder before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents of a folder, each written to the shared folder before the next.
+
+    What a stage wrote on its way, and the stage before it, is removed once its result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, name)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,11 @@ SMALL = [(0, 1), (0, 2), (1, 3), (2, 3), (2, 4), (3, 5), (4, 5), (5, 0)]
 
 
 def rank(spark: SparkSession, data: str | None, p: float, out: str, chances: list[float], tol: float = 1e-8) -> list[str]:
-    """Scores of an edge list, or of a graph of six nodes where there is none, and their metric tables."""
+    """Scores of an edge list, or, with a warning, of a graph of six nodes where the file is missing, and their metric tables."""
     try:
         edges = read_edge_list(spark, data) if data else literal_edges(spark, SMALL)
-    except FileNotFoundError:
+    except FileNotFoundError as missing:
+        warnings.warn(f"{missing}: scores are those of a graph of six nodes", stacklevel=2)
         edges = literal_edges(spark, SMALL)
     graph = Graph.of(edges.persist())
     size = graph.summary().first()
@@ -32,7 +34,7 @@ def rank(spark: SparkSession, data: str | None, p: float, out: str, chances: lis
     tables = Publisher(spark, out)
     tables.add_table("correctness", "Correctness", metrics.correctness(done.scores, base.scores, p)).add_table("convergence", "Convergence", metrics.convergence(done.trace(), p))
     tables.add_table("ranking", "Ranking", metrics.ranking(done.scores, base.scores)).add_table("structure", "Structure", metrics.structure(done.scores))
-    tables.add_table("scale", "Scale", spark.createDataFrame([tuple(scale.as_dict().values())], ", ".join(f"{k} double" for k in scale.as_dict())))
+    tables.add_table("scale", "Scale", spark.createDataFrame([tuple(scale.as_dict().values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'double'}" for k, v in scale.as_dict().items())))
     rows = trace.groupBy("p").agg(F.count("*").alias("iterations"), F.max_by("residual", "iter").alias("residual"))
     tall = rows.select("p", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("iterations", "residual")])).alias("x")).select("p", "x.*")
     tables.add_figure("sweep", sweep_pivot(tall.withColumn("p", F.format_string("p_%.2f", "p")), "p")).add_figure("ccdf", metrics.ccdf(done.scores)).add_figure("trace", trace)

@@ -101,3 +101,10 @@ def with_signals(df: DataFrame, url: str = "url") -> DataFrame:
     for x in parts[1:]:
         total = total + x
     return out.withColumn("composite", total)
+
+
+def rounded_signals(rows: DataFrame, url: str = "url", digits: int = 4) -> DataFrame:
+    """The signals of `with_signals` as they are reported: url, tld_score, domain_reputation, url_depth_score,
+    path_cleanliness, content_type_prior and composite to four digits."""
+    names = {"tld_score": "tld_score", "reputation": "domain_reputation", "depth": "url_depth_score", "cleanliness": "path_cleanliness", "content_prior": "content_type_prior", "composite": "composite"}
+    return rows.select(F.col(url).alias("url"), *[F.round(c, digits).alias(n) for c, n in names.items()])

@@ -92,6 +92,12 @@ def ranked(web: Web, which: Heuristic, k: int | None = None, normal: DataFrame |
     return out.drop("__key").withColumn("heuristic", F.lit(which.name))
 
 
+def signals_map() -> Column:
+    """The signals behind a quality-weighted score as a map: scaled (`_norm`) and raw ones."""
+    names = {"pr_norm": "pr_norm", "rep_norm": "rep_norm", "tld_norm": "tld_norm", "dep_norm": "dep_norm", "pr_raw": "pagerank", "rep_raw": "reputation", "tld_raw": "tld_score"}
+    return F.create_map(*[x for n, c in names.items() for x in (F.lit(n), F.col(c).cast("double"))])
+
+
 def all_ranked(web: Web, k: int | None = None) -> DataFrame:
     """The five rankings one above the other, from one computation of the signals."""
     normal = web.normalised().persist()
@@ -117,6 +123,7 @@ class Prioritizer:
         rows = gate(rows, self.web.robots) if self.check_robots else rows
         rows = min_max(rows, {"pagerank": "pr_norm", "out_degree": "od_norm"}, 0.0)
         very, some, hub = self.thresholds
+        # The phrases of a reason.
         reason = F.concat_ws(
             "; ",
             F.lit("robots.txt permits AI crawlers"),

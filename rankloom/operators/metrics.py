@@ -195,6 +195,6 @@ class Scale:
 
     def as_dict(self) -> dict[str, float]:
         return {
-            "seconds": self.seconds, "ms_per_iteration": 1000 * self.seconds / max(self.iterations, 1), "edges_per_second": self.edges * self.iterations / max(self.seconds, 1e-12),
+            "nodes": self.nodes, "edges": self.edges, "iterations": self.iterations, "seconds": self.seconds, "ms_per_iteration": 1000 * self.seconds / max(self.iterations, 1), "edges_per_second": self.edges * self.iterations / max(self.seconds, 1e-12),
             "scalability_index": self.seconds / max(self.nodes + self.edges, 1), "csr_mb": (12 * self.edges + 4 * (self.nodes + 1) + 16 * self.nodes) / 1e6,
         }

@@ -18,18 +18,27 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFra
     if single:
         seeds = seeds.withColumn("source", F.lit(0))
     moves = edges.select("src", "dst").distinct()
-    seen = cut(seeds.select("source", "id").distinct().withColumn("hop", F.lit(0)))
-    frontier, at = seen, 0
+    parts = [cut(seeds.select("source", "id").distinct().withColumn("hop", F.lit(0)))]
+    at = 0
     while most is None or at < most:
         at += 1
-        nxt = frontier.join(moves, frontier["id"] == moves["src"]).select("source", F.col("dst").alias("id")).distinct()
-        frontier = cut(nxt.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("hop", F.lit(at)))
+        nxt = parts[-1].join(moves, parts[-1]["id"] == moves["src"]).select("source", F.col("dst").alias("id")).distinct()
+        frontier = cut(nxt.join(together(parts).select("source", "id"), ["source", "id"], "left_anti").withColumn("hop", F.lit(at)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        parts.append(frontier)
+    seen = together(parts)
     return seen.drop("source") if single else seen
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """All hops so far: each was written once, when it was met."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 5, distinct_edges: bool = False) -> DataFrame:
     """All paths without a repeated node between the pairs (start, goal): (start, goal, path).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 import warnings
 from collections.abc import Callable
 
@@ -367,6 +367,30 @@ def kg_json_roundtrip(spark, sf):
     return tr.from_indexed(*tr.load_json(spark, path)).relations.select("subject", "relation", "object", "weight", "subject_type", "object_type")
 
 
+ANSWER = [
+    *TRADE, "v AS MATERIALIZED (SELECT id, CASE WHEN id = 'customer:1' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM n)", *q.iterate("a", 10, 0.15, v="v"),
+    "reach(id, hop) AS (SELECT id, 0 FROM n WHERE id = 'customer:1' UNION SELECT e.dst, r.hop + 1 FROM reach r JOIN e ON e.src = r.id WHERE r.hop < 8)",
+    "hop AS (SELECT id, min(hop) AS hop FROM reach GROUP BY id)",
+    "best AS (SELECT row_number() OVER (ORDER BY round(s, 12) DESC, id) AS rank, id, s, hop FROM (SELECT * FROM a10 ORDER BY round(s, 12) DESC, id LIMIT 3) LEFT JOIN hop USING (id))",
+]
+
+
+@query(
+    q.with_(
+        ANSWER,
+        """SELECT '  #' || lpad(rank::VARCHAR, 2, '0') || '  ' || rpad(id, 35, ' ') || '  score=' || printf('%.6f', s) || coalesce('  hop=' || hop, '') AS line FROM best
+  UNION ALL SELECT 'Query   : Which parts did Customer:1 order?' UNION ALL SELECT 'Seeds   : customer:1'
+  UNION ALL SELECT 'Restarting at "customer:1", the walk visits most often ' || (SELECT string_agg('"' || id || '"', ', ' ORDER BY rank) FROM best) || '.'""",
+        True,
+    )
+)
+def answer_text(spark, sf):
+    """Lines of an answer as text: query, seeds, the three best entities, and what the explanation says of them."""
+    text = rt.QueryEngine(tb.trade(spark, sf), k=3, tol=0, max_iter=10).query("Which parts did Customer:1 order?").text()
+    lines = spark.createDataFrame([(x,) for x in text.split("\n")], "line string")
+    return lines.where("line like '  #%' or line like 'Query   :%' or line like 'Seeds   :%' or line like 'Restarting at%'")
+
+
 # --- metrics --------------------------------------------------------------------------------------------------------
 
 AB = [*PART, *P15, *P10, "ab AS MATERIALIZED (SELECT a.id, a.s AS a, b.s AS b FROM a10 a JOIN b10 b USING (id))"]
@@ -519,6 +543,19 @@ def sweep_pivot(spark, sf):
     return rounded(sinks.sweep_pivot(rows, "p", "iter", "residual"))
 
 
+@query(q.with_(PART, "SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, 4::BIGINT AS iterations, round((12 * (SELECT count(*) FROM e) + 4 * ((SELECT count(*) FROM n) + 1) + 16 * (SELECT count(*) FROM n)) / 1e6::DOUBLE, 6) AS csr_mb, true AS timed"))
+def scale_metrics(spark, sf):
+    """Time of a run and what follows from it; of the figures that depend on the machine only that they agree."""
+    graph = tb.part_graph(spark, sf)
+    size = graph.summary().first()
+    _, scale = metrics.Scale.measure(pr.pagerank, size["n_nodes"], size["n_edges"], graph, 0.15, 0, 4)
+    d = scale.as_dict()
+    close = lambda a, b: abs(a - b) <= 1e-9 * max(abs(a), abs(b))
+    timed = d["seconds"] > 0 and close(d["ms_per_iteration"], 250 * d["seconds"]) and close(d["edges_per_second"] * d["seconds"], 4 * d["edges"])
+    timed = timed and close(d["scalability_index"] * (d["nodes"] + d["edges"]), d["seconds"])
+    return spark.createDataFrame([(d["nodes"], d["edges"], d["iterations"], round(d["csr_mb"], 6), timed)], "nodes long, edges long, iterations long, csr_mb double, timed boolean")
+
+
 RELEVANT = "relevant AS MATERIALIZED (SELECT id FROM n WHERE id LIKE 'nation:%' OR id LIKE 'region:%')"
 KS = (1, 3, 5, 10)
 
@@ -580,6 +617,12 @@ def url_signals(spark, sf):
     return rounded(urls.with_signals(tb.read(spark, sf, "pages").select("url").where("url is not null").unionByName(known).distinct()))
 
 
+@query(q.with_(URLS, "SELECT url, round(tld_score, 4) AS tld_score, round(reputation, 4) AS domain_reputation, round(depth, 4) AS url_depth_score, round(cleanliness, 4) AS path_cleanliness, round(content_prior, 4) AS content_type_prior, round(composite, 4) AS composite FROM sig"))
+def url_signals_reported(spark, sf):
+    known = spark.createDataFrame([(u,) for u in tb.KNOWN_URLS], "url string")
+    return urls.rounded_signals(urls.with_signals(tb.read(spark, sf, "pages").select("url").where("url is not null").unionByName(known).distinct()))
+
+
 @query(q.with_(URLS, "SELECT url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS domain, CASE WHEN len(string_split(host, '.')) > 2 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS bare FROM sig"))
 def url_domains(spark, sf):
     known = spark.createDataFrame([(u,) for u in tb.KNOWN_URLS], "url string")
@@ -677,6 +720,17 @@ def exp3_signal_correlation(spark, sf):
     return rounded(ex.signal_correlation(tb.web(spark, sf)), 6)
 
 
+@query(
+    q.with_(
+        [*RK, "g AS (SELECT * FROM rk WHERE heuristic = 'H4_QWA')", "ar AS MATERIALIZED (SELECT " + ", ".join(q.average_rank(c, f"r_{c}") for c in ex.SIGNALS) + " FROM g)"]
+        + ["pr_ AS (" + " UNION ALL ".join(f"SELECT '{la}' AS a, '{lb}' AS b, corr(r_{a}, r_{b}) AS rho FROM ar" for i, (a, la) in enumerate(ex.SIGNALS.items()) for b, lb in list(ex.SIGNALS.items())[i + 1 :]) + ")"],
+        "SELECT place::INT AS place, a, b, round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (ORDER BY abs(round(rho, 12)), a, b) AS place FROM pr_) WHERE place <= 3",
+    )
+)
+def exp3_least_correlated(spark, sf):
+    return rounded(ex.complementary(ex.signal_correlation(tb.web(spark, sf))), 6)
+
+
 DIVERSITY = """SELECT heuristic, 2 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*)::DOUBLE AS domain_gini, count(*) AS unique_domains FROM (
   SELECT heuristic, v, row_number() OVER (PARTITION BY heuristic ORDER BY v, host) AS i FROM (
     SELECT heuristic, host, count(*) / (sum(count(*)) OVER (PARTITION BY heuristic))::DOUBLE + 1e-12 AS v FROM top GROUP BY heuristic, host)) GROUP BY heuristic"""
@@ -750,13 +804,25 @@ def reason_text(spark, sf):
     return crawl.ranked(tb.web(spark, sf), crawl.heuristics()["H4_QWA"]).select("url", "reason")
 
 
+@query(
+    q.with_(
+        RK,
+        "SELECT url, unnest(['pr_norm', 'rep_norm', 'tld_norm', 'dep_norm', 'pr_raw', 'rep_raw', 'tld_raw']) AS signal, round(unnest([pr_norm, rep_norm, tld_norm, dep_norm, pagerank, reputation, tld_score]), 9) AS value FROM nrm WHERE "
+        + q.PERMITTED,
+    )
+)
+def crawl_signals(spark, sf):
+    rows = crawl.ranked(tb.web(spark, sf), crawl.heuristics()["H4_QWA"])
+    return rows.select("url", F.explode(crawl.signals_map()).alias("signal", "value")).withColumn("value", F.round("value", 9))
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------
 
 
 @query(f"SELECT src AS id, count(*) AS out_degree FROM ({tb.PART_EDGES}) GROUP BY src")
 def stream_out_degree(spark, sf):
     """Edges as files of a stream, appended batch by batch to a table; degrees are those of the table."""
-    base = tempfile.mkdtemp(prefix="stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{checkpoint_folder(spark)}/stream-{abs(hash((sf, id(spark))))}"
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     tb.part_edges(spark, sf).write.mode("overwrite").parquet(f"{base}/in")
     ingest.append_edges(ingest.stream_edges(spark, f"{base}/in"), f"{base}/table", f"{base}/state").awaitTermination()
     return Graph.of(spark.read.parquet(f"{base}/table").select("src", "dst")).out_degree()

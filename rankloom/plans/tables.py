@@ -40,6 +40,16 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 _MEMO: dict = {}
 
 
+def forget() -> None:
+    """Drop what `once` keeps, persisted tables included: the next query computes all of its own."""
+    for value in _MEMO.values():
+        for part in value if isinstance(value, tuple) else [value]:
+            for df in [part, *vars(part).values()] if hasattr(part, "__dict__") and not isinstance(part, DataFrame) else [part]:
+                if isinstance(df, DataFrame):
+                    df.unpersist()
+    _MEMO.clear()
+
+
 def once(build: Callable) -> Callable:
     """Keep the result for a session and folder: many queries start from the same scores."""
 

@@ -18,6 +18,7 @@ def session(name: str = "rankloom", cores: int | str = "*", shuffle_partitions:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.maxPlanStringLength": "100000",
         "spark.driver.memory": "4g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a cluster needs it too: checkpoints of finished iterations go
         "spark.sql.ui.retainedExecutions": "20",
         "spark.ui.retainedJobs": "50",
         "spark.ui.retainedStages": "50",
