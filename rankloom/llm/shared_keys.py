@@ -8,12 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rankloom.llm.common import small_batches, stored
 from rankloom.llm.hashing import sized
 
 LEAST_BITS, MOST_BITS, HEAVY_BITS = 20, 30, 22
 KEYS_OF_SLICE = 1_000_000
+MOST_SLICES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -69,12 +71,20 @@ def shared_keys(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], n_k
     """Count the keys of all rows of a one-column table of texts.
 
     keys_of gives the keys of an Arrow array of about `chunk` bytes of texts, each key once for a text; n_keys: about
-    how many keys there are. Every slice of the hash range is counted exactly by one task, which holds about KEYS_OF_SLICE keys;
-    the driver gets only the finished tables.
+    how many keys there are. Every slice of the hash range is counted exactly by one task, which holds about
+    KEYS_OF_SLICE keys; the driver gets only the finished tables. Of more than KEYS_OF_SLICE * MOST_SLICES keys
+    (6.5 * 10**10, some 0.4 TB of text for words) no bitmap of a bounded size could tell which are single: all are then
+    answered as repeated, which sends more of them through the exact joins behind, and only the levels of frequent
+    keys, which order the work, come from every second, fourth, ... text by hash, scaled up. So tasks stay within
+    their memory at every size.
     """
     small_batches(texts.sparkSession)
     bits = min(MOST_BITS, max(LEAST_BITS, int(n_keys).bit_length()))
-    slice_bits = min(16, max(6, int(n_keys // KEYS_OF_SLICE).bit_length()))
+    most = KEYS_OF_SLICE * MOST_SLICES
+    every = 1 << max(0, int(n_keys // most).bit_length())  # one text of so many is counted
+    if every > 1:
+        texts = texts.where(F.pmod(F.xxhash64(texts.columns[0]), F.lit(every)) == 0)
+    slice_bits = min(MOST_SLICES.bit_length() - 1, max(6, int(n_keys // every // KEYS_OF_SLICE).bit_length()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -110,4 +120,7 @@ def shared_keys(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], n_k
         part, loud = np.frombuffer(row["bitmap"], np.uint8), np.frombuffer(row["heavy"], np.uint8)
         bitmap[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
         heavy[row["slice"] * len(loud) : (row["slice"] + 1) * len(loud)] = loud
+    if every > 1:
+        bitmap[:] = 255
+        heavy[heavy > 0] += np.uint8(every.bit_length() - 1)
     return SharedKeys(bits, bitmap, heavy)

@@ -19,8 +19,8 @@ GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 GEAR_BYTES = 32
 CHUNK_TEXT = 1_000_000
 EDGE = 24
-NEAR = 12
-FOUND = "doc_id long, start long, end long, n_words int, d1 long, d2 long, next long, words_before array<int>, starts_before array<long>, words_after array<int>, ends_after array<long>"
+FOUND = "doc_id long, start long, end long, n_words int, d1 long, d2 long, next long"
+BESIDE = "doc_id long, side int, at long, words array<int>, places array<long>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -92,31 +92,6 @@ def text_chunks(texts: pa.Array, radius: int) -> Chunks:
     return Chunks(words, ws - text, we - text, bounds, first, last, owner, tuple(run_hashes(words, first, last + 1, lane) for lane in (0, 1)))
 
 
-def lists(at: np.ndarray, count: np.ndarray, side: int, values: np.ndarray) -> pa.Array:
-    """For each place `at` a list of the `count` values next to it on one side, nearest first."""
-    ends = np.cumsum(count)
-    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + 1
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[np.repeat(at, count) + side * step]))
-
-
-def edge_lists(chunks: Chunks, hit: np.ndarray, side: int) -> tuple[pa.Array, pa.Array]:
-    """Up to EDGE words next to each hit chunk, nearest first: their hashes, and their start (side -1) or end (side 1).
-
-    Beside a chunk whose neighbour is hit too these are the next NEAR words, without places; else the words up to the
-    next hit chunk.
-    """
-    owner = chunks.owner[hit]
-    if side < 0:
-        near, edge, place = chunks.first[hit], chunks.bounds[owner], chunks.starts
-        stop = np.maximum(edge, np.concatenate([[0], chunks.last[hit][:-1] + 1]))
-    else:
-        near, edge, place = chunks.last[hit], chunks.bounds[owner + 1] - 1, chunks.ends
-        stop = np.minimum(edge, np.append(chunks.first[hit][1:] - 1, len(place)))
-    hashes = (chunks.words >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    room = np.minimum(abs(near - stop), EDGE)
-    return lists(near, np.where(room > 0, room, np.minimum(abs(near - edge), NEAR)), side, hashes), lists(near, room, side, place)
-
-
 def shared_chunks(docs: DataFrame, radius: int) -> DataFrame:
     """Chunks whose digest occurs twice or more in the corpus, and some others; see FOUND. docs: doc_id, text.
 
@@ -148,60 +123,99 @@ def shared_chunks(docs: DataFrame, radius: int) -> DataFrame:
             inner = last + 1 < c.bounds[owner + 1]
             following = np.where(inner, c.starts[np.minimum(last + 1, len(c.starts) - 1)], -1)
             cols = [batch.column(0).take(pa.array(owner)), pa.array(c.starts[first]), pa.array(c.ends[last]), pa.array((last - first + 1).astype(np.int32))]
-            cols += [pa.array(d[hit].view(np.int64)) for d in c.digest] + [pa.array(following), *edge_lists(c, hit, -1), *edge_lists(c, hit, 1)]
+            cols += [pa.array(d[hit].view(np.int64)) for d in c.digest] + [pa.array(following)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in FOUND.split(", ")])
 
     return stored(docs.select("doc_id", "text").mapInArrow(emit, FOUND), "chunks")
 
 
-def extended(mine: DataFrame, keepers: DataFrame, rows: int, side: str, place: str, out: str) -> DataFrame:
-    """How far runs go on beyond their last whole chunk on one side: (doc_id, start, end, out, out_words).
+def lists(at: np.ndarray, count: np.ndarray, side: int, values: np.ndarray) -> pa.Array:
+    """For each place `at` a list of the `count` values next to it on one side, nearest first."""
+    ends = np.cumsum(count)
+    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + 1
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[np.repeat(at, count) + side * step]))
+
+
+def words_beside(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Up to EDGE words next to places in texts, nearest first: their hashes, and the byte where each ends the way.
 
-    mine: chunks with words of no other chunk beside them; keepers: the same digests' chunks in their keepers, with
-    `__rows`, how many of all `rows` chunks have the digest. The
-    words beside the two are compared from the chunk outwards, up to the first that differ.
+    docs: doc_id, text; asked: doc_id, side, at, the start of a word (side -1: the words before it) or the end of one
+    (side 1: the words after it). Only texts that are asked for are read again.
     """
-    words, places = f"words_{side}", f"{place}s_{side}"
-    some = mine.where(F.size(places) > 0).select("doc_id", "start", "end", words, places, "d1", "d2")
-    joined = join_counted(some, keepers.select("d1", "d2", F.col(words).alias("__theirs"), "__rows"), ["d1", "d2"], rows)
-    same = F.zip_with(words, "__theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))
-    got = joined.withColumn("n", F.least(n.cast("int"), F.size(places))).where("n > 0")
-    far = F.max if side == "after" else F.min
-    return got.groupBy("doc_id", "start", "end").agg(far(F.element_at(places, F.col("n"))).alias(out), F.max("n").alias(f"{out}_words"))
+    per = asked.groupBy("doc_id").agg(F.collect_set(F.struct("side", "at")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, 1, CHUNK_TEXT):
+            data, starts, ends = flat_bytes(batch.column(1))
+            ws, we, bounds = word_spans(data, starts, ends)
+            hashes = (word_hashes(data, ws, we) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            text = np.repeat(starts, np.diff(bounds))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(2).offsets)))
+            flat = batch.column(2).flatten()
+            sides, places = np.asarray(flat.field("side")), np.asarray(flat.field("at"))
+            for side, edge in ((-1, ws), (1, we)):
+                mine = np.flatnonzero(sides == side)
+                at = np.searchsorted(edge, starts[owner[mine]] + places[mine])
+                limit = bounds[owner[mine]] if side < 0 else bounds[owner[mine] + 1] - 1
+                count = np.minimum(abs(at - limit), EDGE)
+                cols = [batch.column(0).take(pa.array(owner[mine])), pa.array(np.full(len(mine), side, np.int32)), pa.array(places[mine])]
+                cols += [lists(at, count, side, hashes), lists(at, count, side, edge - text)]
+                yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in BESIDE.split(", ")])
+
+    out = docs.join(per, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, BESIDE)
+    return out.dropDuplicates(["doc_id", "side", "at"])  # of equal rows one
+
+
+def extended(docs: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
+    """How far runs go on beyond their first and last chunk: (doc_id, side, at, to, more).
+
+    The words beside such a chunk are compared with those beside its digest's first chunk in the keeper, from the
+    chunk outwards, up to the first that differ, EDGE at most.
+    """
+    ends = F.array(F.struct(F.lit(-1).alias("side"), F.col("start").alias("at"), "head.*"), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"), "tail.*"))
+    edges = stored(runs.where("not kept").select("doc_id", F.explode(ends).alias("e")).select("doc_id", "e.*"), "edges")
+    digest = ["d1", "d2"]
+    keepers = edges.groupBy("keeper", *digest, "side").agg(F.count("*").alias("__rows"))
+    where = found.select(F.col("doc_id").alias("keeper"), *digest, "start", "end").join(keepers, ["keeper", *digest])
+    spots = where.groupBy("keeper", *digest, "side").agg(F.min(F.when(F.col("side") < 0, F.col("start")).otherwise(F.col("end"))).alias("spot"), F.max("__rows").alias("__rows"))
+    spots = stored(spots, "spots")
+    asked = edges.select("doc_id", "side", "at").unionByName(spots.select(F.col("keeper").alias("doc_id"), "side", F.col("spot").alias("at")))
+    beside = stored(words_beside(docs, asked), "beside")
+    theirs = spots.join(beside.select(F.col("doc_id").alias("keeper"), "side", F.col("at").alias("spot"), F.col("words").alias("theirs")), ["keeper", "side", "spot"])
+    mine = edges.select("doc_id", "side", "at", *digest).join(beside, ["doc_id", "side", "at"])
+    met = join_counted(stored(mine, "beside-edges"), theirs.select(*digest, "side", "theirs", "__rows"), [*digest, "side"], edges.count())
+    same = F.zip_with("words", "theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    more = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))
+    out = met.withColumn("more", more.cast("int")).where("more > 0")
+    return out.select("doc_id", "side", "at", F.element_at("places", F.col("more")).alias("to"), "more")
 
 
 def passages(docs: DataFrame, radius: int, min_words: int) -> DataFrame:
     """`repeated_spans` of documents whose doc_id, never null, names one text."""
     found = shared_chunks(docs, radius)
     digest = ["d1", "d2"]
-    per = found.groupBy(*digest).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__last"), F.count("*").alias("__rows"))
-    per = stored(per.where("first_doc_id < __last").drop("__last"), "digests")
-    rows = found.count()
-    chunks = join_counted(found.select("doc_id", "start", "end", "n_words", "next", *digest), per, digest, rows).drop(*digest)
-    chunks = chunks.withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
+    per = found.groupBy(*digest).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("__last"), F.count("*").alias("__rows"))
+    per = stored(per.where("keeper < __last").drop("__last"), "digests")
+    chunks = join_counted(found, per, digest, found.count())
+    chunks = chunks.withColumn("kept", F.col("doc_id") == F.col("keeper"))
     order = Window.partitionBy("doc_id").orderBy("start")
     chunks = chunks.withColumn("__again", F.lag("start").over(order).eqNullSafe(F.col("start"))).where("not __again")  # of equal rows one
     apart = (F.lag("next").over(order) != F.col("start")) | (F.lag("kept").over(order) != F.col("kept"))
     runs = chunks.withColumn("__part", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("__part", F.sum("__part").over(order))
+    chunk = F.struct("keeper", *digest)
     runs = runs.groupBy("doc_id", "__part", "kept").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"), F.max_by("first_doc_id", F.struct("n_words", "start")).alias("first_doc_id"),
-        F.min_by("end", "start").alias("__e"), F.max_by("start", "end").alias("__s"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"), F.max_by("keeper", F.struct("n_words", "start")).alias("first_doc_id"),
+        F.min_by(chunk, "start").alias("head"), F.max_by(chunk, "start").alias("tail"),
     )
-    edges = found.where("size(starts_before) + size(ends_after) > 0").drop("next", "n_words")
-    mine = join_counted(edges, per.withColumn("shared", F.col("__rows")), digest, rows)
-    mine = stored(mine.where("doc_id <> first_doc_id"), "edges")
-    asked = mine.select(*digest, F.col("first_doc_id").alias("doc_id"), "shared").distinct()
-    keepers = found.select("doc_id", "start", *digest, "words_before", "words_after").join(asked, [*digest, "doc_id"])
-    keepers = keepers.groupBy(*digest).agg(F.min(F.struct("start", "words_before", "words_after")).alias("k"), F.max("shared").alias("__rows"))
-    keepers = stored(keepers.select(*digest, "k.*", "__rows"), "keepers")
-    before, after = extended(mine, keepers, rows, "before", "start", "__from"), extended(mine, keepers, rows, "after", "end", "__to")
-    runs = runs.join(before.withColumnRenamed("end", "__e"), ["doc_id", "start", "__e"], "left").join(after.withColumnRenamed("start", "__s"), ["doc_id", "__s", "end"], "left")
-    wider = ~F.col("kept")
-    more = F.coalesce("__from_words", F.lit(0)) + F.coalesce("__to_words", F.lit(0))
-    out = runs.select(
-        "doc_id", F.when(wider, F.coalesce("__from", "start")).otherwise(F.col("start")).alias("start"), F.when(wider, F.coalesce("__to", "end")).otherwise(F.col("end")).alias("end"),
-        F.when(wider, F.col("n_words") + more).otherwise(F.col("n_words")).cast("int").alias("n_words"), "first_doc_id", "kept",
+    runs = stored(runs, "runs")
+    wider = stored(extended(docs, found, runs), "wider")
+    before = wider.where("side < 0").select("doc_id", F.col("at").alias("start"), F.col("to").alias("__from"), F.col("more").alias("__before"))
+    after = wider.where("side > 0").select("doc_id", F.col("at").alias("end"), F.col("to").alias("__to"), F.col("more").alias("__after"))
+    out = runs.join(before, ["doc_id", "start"], "left").join(after, ["doc_id", "end"], "left")
+    zero = F.lit(0)
+    out = out.select(
+        "doc_id", F.coalesce("__from", "start").alias("start"), F.coalesce("__to", "end").alias("end"),
+        (F.col("n_words") + F.coalesce("__before", zero) + F.coalesce("__after", zero)).cast("int").alias("n_words"), "first_doc_id", "kept",
     )
     return out.where(F.col("n_words") >= min_words)
 
@@ -214,8 +228,7 @@ def repeated_spans(docs: DataFrame, radius: int = 3, min_words: int = 32) -> Dat
     at a text's ends; seven words is usual. A chunk is repeated when its 128-bit digest occurs in two documents; the
     smallest of them keeps it. Adjacent repeated chunks that the document does not keep are a passage to go (`kept`
     false, `first_doc_id` the keeper of its longest chunk); at both ends it is carried on, word by word up to EDGE
-    words, as far as the keeper's text agrees, so head and tail of a passage go too (but for a chunk there that only
-    later holders share, as where the passage begins their texts: the first of those keeps it). Runs that the document keeps are
+    words, as far as the keeper's text agrees, so head and tail of a passage go too. Runs that the document keeps are
     reported with `kept` true. Passages of under `min_words` words are left alone.
 
     Defined results: null and empty texts have no chunks; repeats within one document are not reported; white space

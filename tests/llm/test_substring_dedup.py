@@ -66,9 +66,7 @@ def covered(rows, spans):
 
 
 def test_planted_passages(spark):
-    """Passages of 51 words, in other white space too, are found in every later holder; other words are left alone.
-
-    Only where a chunk at the passage's edge stands in later holders alone, its first holder keeps it."""
+    """Passages of 51 words, in other white space too, are found in every later holder; other words are left alone."""
     missed = total = 0
     for seed in range(3):
         rows, holds, passages = planted(seed)
@@ -81,7 +79,7 @@ def test_planted_passages(spark):
             missed, total = missed + len(later[i] - w), total + len(later[i])
         assert {r["doc_id"] for r in got} == {i for i, w in every.items() if w}
         assert all(r["n_words"] >= 32 for r in got)
-    assert missed <= 0.05 * total
+    assert missed <= 0.005 * total
 
 
 def test_against_all_repeated_word_runs(spark):
@@ -100,7 +98,7 @@ def test_against_all_repeated_word_runs(spark):
     spans = covered(rows, [r for r in sd.repeated_spans(frame(spark, rows)).collect() if not r["kept"]])
     wanted, allowed = brute(rows, 51)[1], brute(rows, 4)[1]
     found = sum(len(spans[i] & w) for i, w in wanted.items())
-    assert found >= 0.97 * sum(map(len, wanted.values())) > 0
+    assert found >= 0.99 * sum(map(len, wanted.values())) > 0
     assert all(w <= allowed[i] for i, w in spans.items())  # nothing that no earlier text holds
 
 
@@ -116,7 +114,7 @@ def test_cut_texts(spark):
             assert out[i]["text"] == t
         else:
             left = [w for w in passages[holds[i]] if w in out[i]["text"].split()]
-            assert len(left) <= 13 if holds[i] in seen else len(left) == len(passages[holds[i]])
+            assert len(left) == (0 if holds[i] in seen else len(passages[holds[i]]))
             seen.add(holds[i])
         assert out[i]["n_chars"] == len(out[i]["text"]) and out[i]["digest"] == "x"
 
@@ -152,9 +150,9 @@ def test_edge_cases(spark):
     null = sd.repeated_spans(frame(spark, [(None, t), (5, t), (None, t)])).collect()
     assert {(r["doc_id"], r["kept"], r["first_doc_id"]) for r in null} == {(5, True, 5), (None, False, 5)}
     assert sd.without_repeats(frame(spark, [(1, t), (2, t), (3, None), (4, "")])).count() == 3  # 2 loses all its words
-    both = [(1, t), (1, "quite " + " ".join(words(rng, 60))), (2, t), (None, t + " more"), (None, "x")]
+    both = [(1, t), (1, t), (1, "quite " + " ".join(words(rng, 60))), (2, t), (None, t + " more"), (None, "x")]
     out = sd.without_repeats(frame(spark, both)).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in out if r["doc_id"]) == sorted(both[1:2] + both[2:3])  # 1's plain row comes after 2
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out if r["doc_id"]) == sorted(both[2:4])  # 1's plain rows comes after 2
     assert sorted(r["text"].strip() for r in out if r["doc_id"] is None) == ["more", "x"]
     long = " ".join(words(rng, 50_000))
     wide = sd.repeated_spans(frame(spark, [(1, "a " + long), (2, long + " b"), (3, "word " * 40_000), (4, "word " * 30_000)])).collect()
