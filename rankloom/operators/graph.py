@@ -42,10 +42,11 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes: id; edges: src, dst, weight. Repeated edges and self-loops are kept."""
+    """nodes: id; edges: src, dst, weight. Repeated edges and self-loops are kept. endpoints: the nodes are the edges' own."""
 
     nodes: DataFrame
     edges: DataFrame
+    endpoints: bool = False
 
     @staticmethod
     def of(edges: DataFrame, nodes: DataFrame | None = None) -> Graph:
@@ -53,11 +54,12 @@ class Graph:
         if "weight" not in edges.columns:
             edges = edges.withColumn("weight", F.lit(1.0))
         edges = edges.select("src", "dst", "weight")
+        endpoints = nodes is None
         if nodes is None:
             nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         else:
             edges = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
-        return Graph(nodes.select("id"), edges.select("src", "dst", "weight"))
+        return Graph(nodes.select("id"), edges.select("src", "dst", "weight"), endpoints)
 
     def out_degree(self) -> DataFrame:
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))

@@ -17,6 +17,7 @@ from rankloom.session import cut
 
 MOST_DIRECT_NODES = 50_000
 MOST_DENSE_NODES = 3000
+HUB_EDGES = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -45,12 +46,58 @@ def _checked(p: float) -> float:
     return p
 
 
-def _prepared(graph: Graph, weighted: bool, leak: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+@dataclass(frozen=True)
+class Moves:
+    """Transitions by source, sorted, and apart from them those of hubs: sources of more than HUB_EDGES targets.
+
+    A hub's edges stay spread as they came; there are so few hubs (edges / HUB_EDGES at most) that their scores are
+    broadcast to them.
+    """
+
+    plain: DataFrame
+    hubs: DataFrame | None
+
+    @staticmethod
+    def of(graph: Graph, weighted: bool, n_parts: int) -> Moves:
+        level = StorageLevel.MEMORY_AND_DISK
+        every = graph.transitions(weighted).repartition(n_parts, "src").sortWithinPartitions("src").persist(level)
+        large = cut(every.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HUB_EDGES).select("src"))
+        if large.isEmpty():
+            return Moves(every, None)
+        hubs = every.join(F.broadcast(large), "src", "left_semi").repartition(n_parts).persist(level)
+        plain = every.join(F.broadcast(large), "src", "left_anti").repartition(n_parts, "src").sortWithinPartitions("src").persist(level)
+        hubs.count(), plain.count()
+        every.unpersist()
+        return Moves(plain, hubs)
+
+    def sums(self, ranks: DataFrame, keys: list[str]) -> DataFrame:
+        """What arrives at each target (dst, keys, y); added up by target before it is shuffled."""
+        part = lambda moves, some: some.join(moves, some["id"] == moves["src"]).select("dst", *keys, (F.col("w") * F.col("score")).alias("m"))
+        got = part(self.plain, ranks)
+        if self.hubs is not None:
+            few = ranks.join(F.broadcast(self.hubs.select(F.col("src").alias("id")).distinct()), "id", "left_semi")
+            got = got.unionByName(part(self.hubs, F.broadcast(few)))
+        return got.groupBy("dst", *keys).agg(F.sum("m").alias("y"))
+
+    def every(self) -> DataFrame:
+        return self.plain if self.hubs is None else self.plain.unionByName(self.hubs)
+
+    def unpersist(self) -> None:
+        self.plain.unpersist()
+        if self.hubs is not None:
+            self.hubs.unpersist()
+
+
+def _prepared(graph: Graph, weighted: bool, leak: DataFrame | None) -> tuple[Moves, DataFrame, int]:
     """Transitions by src, and nodes with a dangling flag, both kept in storage with the join's partitioning."""
     n_parts = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moves = graph.transitions(weighted).repartition(n_parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    has_out = moves.select(F.col("src").alias("id"), F.lit(False).alias("dangling")).distinct()
-    nodes = graph.nodes.join(has_out, "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
+    moves = Moves.of(graph, weighted, n_parts)
+    has_out = moves.every().select(F.col("src").alias("id")).distinct().withColumn("dangling", F.lit(False))
+    if graph.endpoints and not weighted:  # all of them are in the transitions, which are kept
+        nodes = moves.every().select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    else:
+        nodes = graph.nodes
+    nodes = nodes.join(has_out, "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
     if leak is not None:
         nodes = nodes.join(leak.select("id", F.lit(True).alias("leaks")).distinct(), "id", "left").withColumn("dangling", F.col("dangling") & F.col("leaks").isNull()).drop("leaks")
     nodes = nodes.repartition(n_parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,7 +139,7 @@ def pagerank(
     lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("score")))).first()[0] or 0.0
     residuals: list[float] = []
     for _ in range(max_iter):
-        sums = ranks.join(moves, ranks["id"] == moves["src"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("score")).alias("y"))
+        sums = moves.sums(ranks, [])
         after = (1 - p) * (F.coalesce("y", F.lit(0.0)) + F.lit(lost / n)) + p * F.col("v")
         step = ranks.join(sums, ranks["id"] == sums["dst"], "left").select("id", "dangling", "v", after.alias("score"), F.abs(after - F.col("score")).alias("change"))
         seen = Observation()
@@ -127,7 +174,7 @@ def sweep(graph: Graph, chances: list[float], tol: float = 1e-8, max_iter: int =
     active, done, trace = list(map(float, chances)), [], []
     for i in range(max_iter):
         mass = F.create_map(*[F.lit(x) for p in active for x in (p, lost[p] / n)])
-        sums = ranks.join(moves, ranks["id"] == moves["src"]).groupBy("dst", "p").agg(F.sum(F.col("w") * F.col("score")).alias("y")).withColumnRenamed("p", "p2")
+        sums = moves.sums(ranks, ["p"]).withColumnRenamed("p", "p2")
         after = (1 - F.col("p")) * (F.coalesce("y", F.lit(0.0)) + mass[F.col("p")]) + F.col("p") / F.lit(float(n))
         step = ranks.join(sums, (ranks["id"] == sums["dst"]) & (ranks["p"] == sums["p2"]), "left").select("id", "p", "dangling", after.alias("score"), F.abs(after - F.col("score")).alias("change"))
         seen = Observation()

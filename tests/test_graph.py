@@ -146,3 +146,13 @@ def test_sparse_solution(spark):
         exact, sparse = scores(pr.direct(g, p, teleport)), scores(pr.direct(g, p, teleport, dense=0))
         assert sparse == pytest.approx(exact, abs=1e-13)
     assert pr.direct(g, most=10) is None
+
+
+def test_hubs(spark, monkeypatch):
+    """Sources of very many targets, apart from the rest, change nothing."""
+    pairs = [(0, i) for i in range(1, 40)] + [(1, i) for i in range(20, 60)] + [(i, (i * 7) % 60) for i in range(2, 50)]
+    g = graph(spark, pairs)
+    want, swept = scores(pr.pagerank(g, tol=0, max_iter=6).scores), {(r["p"], r["id"]): r["score"] for r in pr.sweep(g, [0.15, 0.5], tol=0, max_iter=3)[0].collect()}
+    monkeypatch.setattr(pr, "HUB_EDGES", 10)
+    assert scores(pr.pagerank(g, tol=0, max_iter=6).scores) == pytest.approx(want, abs=1e-15)
+    assert {(r["p"], r["id"]): r["score"] for r in pr.sweep(g, [0.15, 0.5], tol=0, max_iter=3)[0].collect()} == pytest.approx(swept, abs=1e-15)
