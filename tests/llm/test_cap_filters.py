@@ -110,3 +110,24 @@ def test_roots():
             for x, y in links:
                 label[x] = label[y] = min(label[x], label[y])
         assert [*a, *b] == label
+
+
+def test_recall_on_many_skewed_rows(spark):
+    """100,000 vectors in clusters of all sizes; every hundredth against all."""
+    rng = np.random.default_rng(8)
+    n, dim = 100_000, 32
+    centres = rng.standard_normal((20_000, dim)) * np.linspace(2, 0.3, dim)
+    which = np.minimum(rng.zipf(1.5, n) * 13 - rng.integers(0, 13, n), 19_999)
+    x = (centres[which] + rng.standard_normal((n, dim)) * rng.choice([0.1, 0.2, 0.35], (n, 1))).astype(np.float32)
+    import pandas as pd
+
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(4)
+    found = {r["vec_id"]: r["n_links"] for r in cf.near_duplicates(rows).where("vec_id % 100 = 0").collect()}
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y[::100] @ y.T >= 0.95).sum(axis=1) - 1
+    got = np.array([found[i] for i in range(0, n, 100)])
+    assert (got <= want).all() and want.max() > 1000
+    assert got.sum() >= 0.97 * want.sum()
+    some = want > 0
+    assert np.mean(got[some] / want[some]) >= 0.95

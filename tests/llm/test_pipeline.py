@@ -59,3 +59,31 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     assert cp.run(spark, folder[0]).count() > 0 and cp.ORACLE_SQL is None
     assert language_id.train(spark.read.parquet(f"{folder[0]}/documents.parquet")).languages == ("de", "en", "fr")
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def written(spark, path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_empty_table(spark, tmp_path):
+    assert cp.run(spark, written(spark, str(tmp_path), [])).count() == 0
+
+
+def test_ties_and_shared_ids(spark, tmp_path):
+    """Equal texts, one doc_id with several texts and rows without an id go through all stages, and no text is lost."""
+    rng = random.Random(4)
+    base = [text(rng, "en", 60) for _ in range(40)] + [text(rng, "de", 60) for _ in range(40)]
+    rows = [(i, t, "en" if i < 40 else "de", "s", len(t)) for i, t in enumerate(base)]
+    extra = [text(rng, "en", 70) for _ in range(3)]
+    rows += [(5, extra[0], "en", "s", 1), (5, extra[1], "en", None, 1), (None, extra[2], "en", "s", 1), (7, base[7], "en", "s", 1), (90, base[8], "en", "s", 1)]
+    path = written(spark, str(tmp_path), rows)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = cp.repeated_passages(spark, cp.near_copies(spark, docs, path), path).collect()
+    assert sorted(r["text"] for r in kept) == sorted([*base, *extra])
+    packed = cp.run(spark, path)
+    assert packed.where("doc_id = 5").select("doc_tokens").distinct().count() >= 1
+    assert packed.agg({"length": "sum"}).first()[0] > 80 * 60

@@ -171,3 +171,14 @@ def test_columns_of_any_name(spark):
         assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
     mixed = mx.mixed_documents(wide.withColumnsRenamed({"id": "doc_id", "same": "source"}))
     assert mixed.columns == wide.withColumnsRenamed({"id": "doc_id", "same": "source"}).columns and all(r["round"] == f"round{r['v']}" for r in mixed.collect())
+
+
+def test_mix_of_very_long_texts(spark):
+    rows = [(1, "a", "w " * 300_000), (2, "a", "w"), (3, "b", "w " * 200_000), (3, "b", "w " * 200_000), (4, None, "x" * 500_000)]
+    got = mx.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    took, target = Counter(), {}
+    for r in got:
+        took[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert all(took[s] == pytest.approx(t, abs=0.5) for s, t in target.items())
