@@ -1,5 +1,7 @@
 """Invariants and known values of link analysis."""
 
+import os
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -156,3 +158,54 @@ def test_hubs(spark, monkeypatch):
     monkeypatch.setattr(pr, "HUB_EDGES", 10)
     assert scores(pr.pagerank(g, tol=0, max_iter=6).scores) == pytest.approx(want, abs=1e-15)
     assert {(r["p"], r["id"]): r["score"] for r in pr.sweep(g, [0.15, 0.5], tol=0, max_iter=3)[0].collect()} == pytest.approx(swept, abs=1e-15)
+
+
+def test_linear_system_of_any_size(spark):
+    """Beyond the dense size the system is solved over all tasks, and gives what one task gives."""
+    edges = [(f"n{i}", f"n{(i * 7 + j) % 50}") for i in range(40) for j in (1, 3)] + [("n1", "end")]
+    g = graph(spark, edges)
+    assert scores(pr.linear(g, 0.9, dense=5)) == pytest.approx(scores(pr.direct(g, 0.9)), abs=1e-12)
+    seeds = spark.createDataFrame([("n1", 1.0), ("n2", 3.0)], "id string, v double")
+    assert scores(pr.linear(g, 0.9, seeds, dense=5)) == pytest.approx(scores(pr.direct(g, 0.9, seeds)), abs=1e-12)
+
+
+def test_iterations_leave_one_table(spark):
+    """Finished iterations are removed from the checkpoint folder at once, not when the garbage collector comes by."""
+    g = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "b")])
+    files = []
+    kept_, drop = [], pr.drop_cut
+
+    def dropped(df):
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+        drop(df)
+        files.append(os.path.exists(file))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pr, "drop_cut", dropped)
+        kept_.append(pr.pagerank(g, tol=0, max_iter=3).scores)
+    assert files == [False] * 3 and sum(scores(kept_[0]).values()) == pytest.approx(1)
+
+
+def test_predecessor_counts_of_many_sources(spark):
+    """More sources than a word has bits, repeated edges, loops: as counted by a plain search."""
+    pairs = [(i, (i * 7 + 3) % 90) for i in range(90)] + [(i, (i * 13 + 5) % 90) for i in range(0, 90, 3)] + [(0, 3), (5, 5)]
+    want, out = {}, {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    for s in range(70):
+        dist, front = {s: 0}, [s]
+        while front:
+            front = list(dict.fromkeys(b for a in front for b in out.get(a, []) if b not in dist))
+            dist |= dict.fromkeys(front, max(dist.values()) + 1)
+        for a, b in pairs:
+            if a in dist and dist[b] == dist[a] + 1:
+                want[b] = want.get(b, 0) + 1
+    got = tv.predecessor_counts(spark.createDataFrame(pairs, "src long, dst long"), spark.range(70))
+    assert {r["id"]: r["between"] for r in got.collect()} == pytest.approx({k: v / sum(want.values()) for k, v in want.items()})
+
+
+def test_tables_of_a_long_search_stay_few(spark):
+    parts = []
+    for i in range(12):
+        parts = tv.merged([*parts, (tv.cut(spark.range(i, i + 1)), 1)])
+    assert len(parts) <= 4 and sorted(r[0] for p, _ in parts for r in p.collect()) == list(range(12))
