@@ -209,3 +209,14 @@ def test_tables_of_a_long_search_stay_few(spark):
     for i in range(12):
         parts = tv.merged([*parts, (tv.cut(spark.range(i, i + 1)), 1)])
     assert len(parts) <= 4 and sorted(r[0] for p, _ in parts for r in p.collect()) == list(range(12))
+
+
+def test_rounds_of_a_long_search(spark, monkeypatch):
+    """The estimates of the tables a search writes stay small, and it goes on to the end of a chain of any length."""
+    chain = lambda n: spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)], "src string, dst string")
+    start, bits, cut = spark.createDataFrame([("n0",)], "id string"), [], tv.cut
+    with monkeypatch.context() as m:
+        m.setattr(tv, "cut", lambda df: (bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()), cut(df))[1])
+        tv.predecessor_counts(chain(8), start)
+    assert len(bits) == 10 and max(bits[5:]) == max(bits[3:5]) and max(bits) < 1000
+    assert scores(tv.predecessor_counts(chain(45), start).withColumnRenamed("between", "score")) == pytest.approx({f"n{i}": 1 / 45 for i in range(1, 46)})
