@@ -218,5 +218,15 @@ def test_rounds_of_a_long_search(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(tv, "cut", lambda df: (bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()), cut(df))[1])
         tv.predecessor_counts(chain(8), start)
-    assert len(bits) == 10 and max(bits[5:]) == max(bits[3:5]) and max(bits) < 1000
+    assert len(bits) == 11 and max(bits[6:]) == max(bits[4:6]) and max(bits) < 1000
     assert scores(tv.predecessor_counts(chain(45), start).withColumnRenamed("between", "score")) == pytest.approx({f"n{i}": 1 / 45 for i in range(1, 46)})
+
+
+def test_plan_of_a_round(spark, monkeypatch):
+    """A round has one shuffle, and its plan lists nothing of what the edges came from."""
+    plans, cut = [], tv.cut
+    monkeypatch.setattr(tv, "rounds_parts", lambda *a: 3)
+    monkeypatch.setattr(tv, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long").distinct().repartition(2, "dst").persist()
+    assert tv.predecessor_counts(edges, spark.range(1)).count() == 3
+    assert [p.count("Exchange") for p in plans[-4:]] == [1] * 4
